@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import chat
+from quern.llm import bpe, chat
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLE_SQL = {
