@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat
+from quern.llm import bpe, chat, langid, secrets, simhash
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op6_secrets": secrets.op6_secrets,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language_id": langid.op8_language_id,
 }
 
 ORACLE_SQL = {
