@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,18 +47,22 @@ def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBa
         start += n
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the session names; only where none is set (tests), to one under /tmp."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; only where none is set (tests), one under /tmp."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found
+    import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    made = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there: short lineage, survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table to the shared folder and read it from there: short lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, langid, secrets, simhash
+from quern.llm import bpe, chat, decontaminate, langid, secrets, simhash
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL = {
