@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,19 +17,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 512, chars: int = 4_000_000) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType, rows: int = 512, chars: int = 4_000_000) -> DataFrame:
     """Run ``fn(columns: dict of lists) -> dict of columns`` over bounded slices of each Arrow batch.
 
     A slice has at most ``rows`` rows and, beyond its first row, about ``chars`` characters of strings, so that
     a worker's memory doesn't depend on how rows are batched.
     """
     names = df.columns
+    types = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, rows, chars):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(out, schema=types)
 
     return df.mapInArrow(run, schema)
 
