@@ -157,8 +157,33 @@ def predict(docs: DataFrame, learnt: dict[str, np.ndarray], keep: str) -> DataFr
     return map_rows(docs.select(keep, "text"), run, f"{keep} long, lang_pred string, score double", ROWS, CHARS)
 
 
+def training(docs: DataFrame) -> DataFrame:
+    """The rows to learn from: crc32 of the id as text leaves anything but 1 divided by 3."""
+    return docs.where(~F.coalesce(held_out("doc_id", 3, 1), F.lit(False)))
+
+
+def accepted(docs: DataFrame, learnt: dict[str, np.ndarray], sigmas: float = 3.0) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a known language.
+
+    Rejected: texts without a letter, and those whose best cosine is below ``sigmas`` standard deviations of the
+    cosine of random vectors, as of a text in letters that no prototype has met.
+    """
+    names = list(learnt)
+    matrix = np.stack([learnt[n] for n in names]) if names else np.zeros((0, DIMENSIONS), np.float32)
+    floor, place = sigmas / DIMENSIONS**0.5, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = Letters(matrix.shape[1])
+        for batch in batches:
+            for part in slices(batch, ROWS, CHARS):
+                pred, score = identify(part.column(place).to_pylist(), names, matrix, letters)
+                yield part.filter(pa.array([p != UNKNOWN and s >= floor for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "lang")
-    learnt = prototypes(docs.where(~F.coalesce(held_out("doc_id", 3, 1), F.lit(False))))
+    learnt = prototypes(training(docs))
     out = predict(docs, learnt, "doc_id")
     return out.select("doc_id", F.coalesce(held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -270,6 +270,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return made.join(known, F.col("fp") == F.col("known_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Rows of ``docs``, all columns, without the documents linked to one of a smaller id. A null doc_id stays."""
+    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(cut(gone), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
