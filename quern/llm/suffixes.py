@@ -16,7 +16,7 @@ cut into chunks of about ``CHUNK`` bytes; the strings are judged where their con
    one size class merge, so that n strings are in O(log n) levels. A chunk gets one bit for each string it sent.
 4. The chunk marks the bytes and returns its documents.
 
-Shuffles hold 5 bytes for each anchor, compressed contexts of met anchors, bits, and the compressed texts twice (to meet the
+Shuffles hold 4 bytes for each anchor, compressed contexts of met anchors, bits, and the compressed texts twice (to meet the
 answers). A text that a third of all rows share travels once for each chunk, not for each row. A bucket holds the
 anchors of about ``BUCKET`` bytes of text. Hashes only choose places; strings are compared byte by byte.
 
@@ -40,12 +40,12 @@ from quern.llm.arrow import cut, read_table
 LENGTH, WORD = 50, 16
 SPAN = LENGTH - WORD + 1
 WIDEST = LENGTH + SPAN - 1
-CHUNK, BUCKET, BATCH = 8_000_000, 8_000_000, 1 << 16
+CHUNK, BUCKET, BATCH = 6_000_000, 8_000_000, 1 << 16
 BLOCK = 1 << 15
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
                 {
                     "chunk": pa.array([number], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_bytes": pa.array([size], pa.int64()),
                     "ids": [pack(np.array([i or 0 for i in ids], np.int64))], "null_ids": [pack(np.array([i is None for i in ids], bool))],
-                    "sizes": [pack(np.array([len(t) for _, t in held], np.int64))], "text": [zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in held))],
+                    "sizes": [pack(np.array([len(t) for _, t in held], np.int64))], "text": [zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in held))],
                 }
             )
 
@@ -178,10 +178,10 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = np.minimum(h[:-step], h[step:])
             step *= 2
         h = np.minimum(h[:m], h[SPAN - step : SPAN - step + m]) if SPAN > step else h[:m]
-        found.append((h & np.uint64(0xFFFF)).astype(np.int64)[:m] + start)
+        found.append((h & np.uint64(0xFFFF)).astype(np.int32)[:m] + np.int32(start))
     at = np.concatenate(found)
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return begin, np.append(begin[1:], n) - 1, at[begin]
+    return begin, np.append(begin[1:], n) - 1, at[begin].astype(np.int64)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def send_keys(stored: DataFrame, n: int) -> DataFrame:
-    """(chunk, bucket, blob): 40 bits of each distinct key."""
+    """(chunk, bucket, blob): 32 bits of each distinct key, enough within a bucket; what meets by chance is compared later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +198,7 @@ def send_keys(stored: DataFrame, n: int) -> DataFrame:
                 c.anchor()
                 bucket = bucket_of(c.keys, n)
                 starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                low = c.keys.view(np.uint8).reshape(-1, 8)[:, :5]
+                low = (c.keys >> np.uint64(8)).astype(np.uint32)
                 blobs = [low[s:e].tobytes() for s, e in zip(starts, np.append(starts[1:], len(bucket)), strict=False)]
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(blobs), pa.int64()), "bucket": bucket[starts], "blob": pa.array(blobs, pa.binary())})
 
@@ -207,12 +207,7 @@ def send_keys(stored: DataFrame, n: int) -> DataFrame:
 
 def meet(table: pa.Table) -> pa.Table:
     """One bucket: for each chunk's keys, whether another chunk has them."""
-    blobs = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table.column("blob").to_pylist()]
-    own = []
-    for b in blobs:
-        wide = np.zeros((len(b), 8), np.uint8)
-        wide[:, :5] = b
-        own.append(wide.view(np.uint64)[:, 0])
+    own = [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
     ranked = np.sort(np.concatenate(own))
     often = ranked[1:][ranked[1:] == ranked[:-1]]
     often = often[np.concatenate([[True], often[1:] != often[:-1]])] if len(often) else often
@@ -263,13 +258,14 @@ def send_contexts(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
         starts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])).tolist() if len(here) else []
         stops = [*starts[1:], len(here)][: len(starts)]
         counts = np.array([e - s for s, e in zip(starts, stops, strict=True)], np.int64)
-        out["blob"].append(pack(np.array([len(use), len(lead), len(counts)], np.int64), first, sent, size, size[lead], counts, gone))
+        out["blob"].append(pack(np.array([len(use), len(lead), len(counts)], np.int64), counts, *(a.astype(np.uint32) for a in (first, sent)), *(a.astype(np.uint8) for a in (size, size[lead], gone))))
         for s, e in zip(starts, stops, strict=True):
             own = lead[s:e]
             text = np.concatenate([c.text[f : f + z] for f, z in zip(first[own].tolist(), size[own].tolist(), strict=True)])
             out["chunk"].append(row["chunk"])
             out["bucket"].append(int(here[s]))
-            out["blob"].append(pack(np.array([e - s], np.int64), ids[own], size[own].astype(np.int64), text))
+            kinds, which_id = np.unique(ids[own], return_inverse=True)
+            out["blob"].append(pack(np.array([e - s, len(kinds)], np.int64), kinds, which_id.astype(np.uint32), size[own].astype(np.uint8), text))
     return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
 
 
@@ -321,10 +317,10 @@ def judge(table: pa.Table, batch: int = BATCH) -> pa.Table:
     ids, sizes, texts, counts = [], [], [], []
     for blob in table.column("blob").to_pylist():
         raw = unpack(blob)
-        n = int(raw[:8].view(np.int64)[0])
-        ids.append(raw[8 : 8 + 8 * n].view(np.int64))
-        sizes.append(raw[8 + 8 * n : 8 + 16 * n].view(np.int64))
-        texts.append(raw[8 + 16 * n :])
+        n, k = raw[:16].view(np.int64).tolist()
+        ids.append(raw[16 : 16 + 8 * k].view(np.int64)[raw[16 + 8 * k : 16 + 8 * k + 4 * n].view(np.uint32)])
+        sizes.append(raw[16 + 8 * k + 4 * n : 16 + 8 * k + 5 * n].astype(np.int64))
+        texts.append(raw[16 + 8 * k + 5 * n :])
         counts.append(n)
     ids, sizes, text = np.concatenate(ids), np.concatenate(sizes), np.concatenate(texts)
     first = np.cumsum(sizes) - sizes
@@ -360,13 +356,15 @@ def remove(left: pa.Table, right: pa.Table, texts: bool) -> pa.Table:
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
     for row in left.to_pylist():
         c = Chunk(row)
-        change = np.zeros(len(c.text) + 1, np.int64)
+        change = np.zeros(len(c.text) + 1, np.int8)  # of how many strings cover a byte: LENGTH at most
         answers = sorted(zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True))
         if answers and answers[0][0] == -1:
             raw = unpack(answers[0][1]).copy()
             n, m, k = raw[:24].view(np.int64).tolist()
-            first, sent, size, lead_size, counts = np.split(raw[24 : 24 + 8 * (3 * n + m + k)].view(np.int64), [n, 2 * n, 3 * n, 3 * n + m])
-            gone = raw[24 + 8 * (3 * n + m + k) :].view(bool)
+            counts, raw = raw[24 : 24 + 8 * k].view(np.int64), raw[24 + 8 * k :]
+            first, sent = raw[: 8 * n].view(np.uint32).astype(np.int64).reshape(2, n)
+            size, lead_size, gone = np.split(raw[8 * n :], [n, n + m])
+            size, lead_size, gone = size.astype(np.int64), lead_size.astype(np.int64), gone.astype(bool)
             windows = lead_size - LENGTH + 1
             upto = np.cumsum(windows)
             stops = upto[np.cumsum(counts) - 1]  # answers come in the order in which the chunk sent
@@ -378,7 +376,7 @@ def remove(left: pa.Table, right: pa.Table, texts: bool) -> pa.Table:
             starts = (np.repeat(first, each) + inside)[marked]
             change[starts] += 1
             change[starts + LENGTH] -= 1
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], dtype=np.int8) > 0
         at = 0
         for doc_id, none, end in zip(c.ids.tolist(), c.null_ids.tolist(), c.ends.tolist(), strict=True):
             own, text = removed[at:end], c.text[at:end]
