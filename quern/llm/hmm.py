@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quern.llm.arrow import cut, held_out, read_table
 
 STATES, CLASSES, SUFFIX, ROUNDS = 8, 2048, 4, 6
-RUN, CHUNK, WIDE, SEED = 128, 2_000_000, 2048, 20_090
+RUN, CHUNK, WIDE, SEED = 128, 1_000_000, 1024, 20_090
 END, END_CLASS = b"\n", CLASSES - 1
 MODULUS, REMAINDER = 7, 2
 
@@ -75,8 +75,8 @@ def numbered(docs: DataFrame, most: int = CHUNK) -> DataFrame:
 
         def words() -> Iterator[pa.RecordBatch]:
             every = list(place)
-            for at in range(0, len(every), 50_000):
-                own = every[at : at + 50_000]
+            for at in range(0, len(every), 10_000):
+                own = every[at : at + 10_000]
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk] * n, pa.int64()), none(n, pa.int64()), none(n, pa.bool_()), none(n, pa.binary()), none(n, pa.binary()), pa.array(own, pa.binary()),
