@@ -36,7 +36,7 @@ from quern.llm.kept import Kept
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
-BLOCK, CHUNK, SHARD_CHARS = 8, 64, 16_000_000
+BLOCK, CHUNK, SHARD_CHARS, CELLS = 8, 64, 16_000_000, 4_000_000
 
 words_of = re.compile(r"\w+").findall
 
@@ -79,25 +79,61 @@ class Index:
         self.n_blocks = n // BLOCK + 1
         often = np.array([len(b) > max(4, self.n_blocks / 4) for b in self.blocks])
         self.flat = np.where(often, self.most, 0.0)
+        # no item gets more from those terms than it holds of them
+        common = np.zeros(n + BLOCK)
+        for t in np.flatnonzero(often):
+            common[self.posts[t][0]] += self.posts[t][1]
+        self.common = common[:n]
+        self.cap = common[: self.n_blocks * BLOCK].reshape(-1, BLOCK).max(1) if n else np.zeros(1)
         sparse = [() if o else tuple(b.items()) for b, o in zip(self.blocks, often, strict=True)]
         self.first = np.concatenate([[0], np.cumsum([len(s) for s in sparse])])
         self.at_block = np.array([k for s in sparse for k, _ in s], np.int64)
         self.at_most = np.array([v for s in sparse for _, v in s])
+        # the postings of each (term, block) of the sparse terms
+        rare = [p for p, o in zip(self.posts, often, strict=True) if not o and len(p[0])]
+        self.item = np.concatenate([p[0] for p in rare] or [np.zeros(0, np.int64)])
+        self.weight = np.concatenate([p[1] for p in rare] or [np.zeros(0)])
+        owner = np.repeat(np.arange(len(rare)), [len(p[0]) for p in rare])
+        new = np.flatnonzero(np.diff(owner * self.n_blocks + self.item // BLOCK, prepend=-1))
+        self.post_first = np.append(new, len(self.item))
 
     def promising(self, chunk: np.ndarray, term: np.ndarray, n_chunks: int) -> np.ndarray:
-        """Chunks c whose passage (c, c + 1) can reach the threshold in some block. chunk, term: distinct pairs, sorted."""
+        """Chunks c whose passage (c, c + 1) can reach the threshold for some item. chunk, term: distinct pairs, sorted.
+
+        First by block maxima, for all passages and blocks at once; in the blocks left, by the items' own weights.
+        What an item can get from frequent terms is at most what it holds of them.
+        """
         flat = np.bincount(chunk, self.flat[term], n_chunks + 1)
+        flat = flat[:-1] + flat[1:]
         size = self.first[term + 1] - self.first[term]
         owner = np.repeat(chunk, size)
         place = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        block, most = self.at_block[place], self.at_most[place]
-        key = np.concatenate([owner * self.n_blocks + block, (owner - 1) * self.n_blocks + block])
-        most = np.concatenate([most, most])[key >= 0]
-        kinds, where = np.unique(key[key >= 0], return_inverse=True)
-        bound = np.bincount(where, most, len(kinds)) if len(kinds) else np.zeros(0)
-        at = kinds // self.n_blocks
-        reach = flat[at] + flat[np.minimum(at + 1, n_chunks)]
-        return np.unique(np.concatenate([at[bound + reach >= THRESHOLD], np.flatnonzero(flat[:-1] + flat[1:] >= THRESHOLD)]))
+        block, need = self.at_block[place], THRESHOLD - 1e-9
+        out = [np.flatnonzero(np.minimum(flat, self.common.max(initial=0.0)) >= need)]
+        step = max(1, CELLS // self.n_blocks)
+        for low in range(0, n_chunks, step):
+            n = min(step, n_chunks - low)
+            s, e = np.searchsorted(owner, [low, low + n + 1])
+            o, b, at = owner[s:e] - low, block[s:e], place[s:e]
+            bound = np.bincount(o * self.n_blocks + b, self.at_most[at], (n + 1) * self.n_blocks).reshape(n + 1, self.n_blocks)
+            live = bound[:-1] + bound[1:] + np.minimum(flat[low : low + n, None], self.cap[None]) >= need
+            if not live.any():
+                continue
+            one = np.flatnonzero(live[np.minimum(o, n - 1), b] & (o < n))
+            two = np.flatnonzero(live[np.maximum(o - 1, 0), b] & (o > 0))
+            entries = len(self.at_block)
+            key = np.unique(np.concatenate([o[one] * entries + at[one], (o[two] - 1) * entries + at[two]]))
+            passage, entry = key // entries, key % entries
+            size = self.post_first[entry + 1] - self.post_first[entry]
+            post = np.repeat(self.post_first[entry] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            pair = np.repeat(passage, size) * len(self.items) + self.item[post]
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            new = np.flatnonzero(np.diff(pair, prepend=-1))
+            score = np.add.reduceat(self.weight[post][order], new) if len(new) else np.zeros(0)
+            passage, item = pair[new] // len(self.items), pair[new] % len(self.items)
+            out.append(passage[score + np.minimum(flat[low + passage], self.common[item]) >= need] + low)
+        return np.unique(np.concatenate(out))
 
     def wand(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Every (item, score) of at least the threshold for a query of distinct terms, by block-max WAND."""
