@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.arrow import map_rows, read_table
 from quern.llm.kept import Kept
 
+PIECES_KEPT, RUNS_KEPT = 100_000, 150_000
 #: White space as the vocabulary's own pattern engine defines it (Unicode White_Space).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
@@ -68,7 +69,7 @@ class WordBpe:
         self.last = [self.vocab[s + self.end] for s in symbols]
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.controls = regex.compile(r"[\x1c-\x1f]").search
-        self.of_piece, self.of_run = Kept(self.packed), Kept(self.joined)
+        self.of_piece, self.of_run = Kept(self.packed, PIECES_KEPT), Kept(self.joined, RUNS_KEPT)
 
     def word(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -110,7 +111,10 @@ class WordBpe:
 
     def joined(self, run: str) -> tuple[bytes, str]:
         """A run without white space: its pieces, one after the other."""
-        made = [self.of_piece[p] for p in self.pieces(run)]
+        pieces = self.pieces(run)
+        if len(pieces) == 1:
+            return self.packed(run) if pieces[0] == run else self.of_piece[pieces[0]]
+        made = [self.of_piece[p] for p in pieces]
         return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:

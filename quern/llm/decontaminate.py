@@ -208,7 +208,7 @@ class Scanner:
 
     def __init__(self, index: Index):
         self.index, self.several = index, []
-        self.of_run = Kept(self.numbered)
+        self.of_run = Kept(self.numbered, 100_000)
 
     def numbered(self, run: str) -> int:
         """The term of a run without white space (0: none of the index); below 0: its place among those of several words."""
@@ -223,7 +223,7 @@ class Scanner:
         index, out = self.index, [[] for _ in texts]
         terms, chunks, starts, n_chunks = [], [], [], 0
         if len(self.several) > 200_000:
-            self.several, self.of_run = [], Kept(self.numbered)
+            self.several, self.of_run = [], Kept(self.numbered, 100_000)
         for text in texts:
             ids = np.array(list(map(self.of_run.__getitem__, (text or "").lower().split())), np.int64)
             if len(ids) and ids.min() < 0:
