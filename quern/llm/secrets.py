@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.arrow import map_rows, read_table
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT, AROUND, BITS, SHORTEST = 64, 512, 3.6, 16
+CONTEXT, AROUND, BITS, SHORTEST = 64, 512, 6.0, 16
 MASK = "[SECRET]"
 
 # Words that make a context sensitive.
@@ -38,6 +38,13 @@ secret secret_key self service session_id settings signature ssh-rsa string toke
 development production staging testing example placeholder changeme your_key_here insert_your_token_here
 application/json content-type https://www.example.com/index.html org.apache.commons.lang3 java.util.concurrent
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000000000000000 xxxxxxxxxxxxxxxxxxxxxxxx
+/path/to/some/directory/file.txt /usr/local/bin /home/user/config application settings email template reset page
+account admin authentication backup cache client config create customer data database delete document error event
+example_file group handler header image index input internal item library list login main manager message method model
+module name network number object option order output package parameter parser password_reset process product project
+property query report request resource response result route schema script server service source status storage store
+stream string system table target task template test_case thread time_stamp title tracker update upload user_id util view
+2020-01-01T00:00:00.000Z 2021-12-31 2022-06-30 2023-03-15 2024-10-20 2025-05-05 the-and-for-with-over-under
 deadbeefdeadbeefdeadbeef 1234567890abcdef 123456789012345678901234567890
 """
 
