@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs``, all columns, without the documents linked to one of a smaller id. A null doc_id stays."""
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(cut(gone), docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    gone = cut(near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
