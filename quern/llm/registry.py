@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op3_exact_top_k": mtree.OP3_SQL,
 }
