@@ -59,12 +59,13 @@ def typed(field: Field, value: object) -> tuple[Column, Column] | None:
 
 
 def compare(field: Field | None, op: str, value: object) -> Column:
+    kind = class_of(value)
     pair = typed(field, value) if field else None
-    if pair is None or (class_of(value) == "bool" and op not in ("eq", "ne")):
+    if pair is None or (kind == "bool" and op not in ("eq", "ne")):
         return false()
     found = COMPARE[op](*pair)
     inexact = field.kind == "variant" or isinstance(field.type, (T.DoubleType, T.FloatType))
-    if class_of(value) == "num" and inexact and op in ("gt", "gte"):
+    if kind == "num" and inexact and op in ("gt", "gte"):
         found = found & ~F.isnan(pair[0])  # Spark puts NaN above all numbers
     return found
 
