@@ -27,7 +27,7 @@ from quern.llm.arrow import held_out, map_rows, read_table, slices
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20_090, "und"
 MOST_LANGUAGES = 10_000
-ROWS, CHARS = 256, 1_500_000
+ROWS, CHARS, GRAMS = 256, 1_500_000, 4096
 
 _letters: list[np.ndarray] = []
 
@@ -87,13 +87,18 @@ class Letters:
     def __init__(self, dimensions: int):
         self.dimensions, self.known = dimensions, {}
 
-    def bind(self, grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    def bundle(self, weights: np.ndarray, grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+        """Sums of the trigrams' vectors by each row of ``weights``; ``GRAMS`` trigrams are bound at a time."""
         for c in alphabet.tolist():
             if c not in self.known:
                 self.known[c] = letter_vector(c, self.dimensions)
         third = np.stack([self.known[c] for c in alphabet.tolist()]) if len(alphabet) else np.zeros((0, self.dimensions), np.int8)
         second, first = np.roll(third, 1, axis=1), np.roll(third, 2, axis=1)
-        return (first[grams[:, 0]] * second[grams[:, 1]] * third[grams[:, 2]]).astype(np.float32)
+        out = np.zeros((len(weights), self.dimensions), np.float32)
+        for at in range(0, len(grams), GRAMS):
+            one, two, three = grams[at : at + GRAMS].T
+            out += weights[:, at : at + GRAMS] @ (first[one] * second[two] * third[three]).astype(np.float32)
+        return out
 
 
 def blocks(total: int, width: int) -> Iterator[slice]:
@@ -112,10 +117,12 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nd
                 counts, grams, alphabet = trigrams(part.column(0).to_pylist())
                 length = np.sqrt((counts * counts).sum(1))
                 langs = np.array(part.column(1).to_pylist(), object)
-                vectors = letters.bind(grams, alphabet) if len(grams) else None
-                for lang in sorted(set(langs[length > 0].tolist())):
-                    own = (langs == lang) & (length > 0)
-                    sums[lang] = sums.get(lang, 0) + ((counts[own] / length[own, None]).sum(0, dtype=np.float32) @ vectors).astype(np.float64)
+                kinds = sorted(set(langs[length > 0].tolist()))
+                each = [(langs == k) & (length > 0) for k in kinds]
+                if kinds:
+                    weights = np.stack([(counts[own] / length[own, None]).sum(0, dtype=np.float32) for own in each])
+                    for lang, v in zip(kinds, letters.bundle(weights, grams, alphabet), strict=True):
+                        sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dimensions, "dim": np.arange(dimensions, dtype=np.int32), "v": v})
 
@@ -134,9 +141,8 @@ def identify(texts: list[str | None], names: list[str], matrix: np.ndarray, lett
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not len(grams) or not names:
         return pred, score
-    vectors = letters.bind(grams, alphabet)
     for own in blocks(len(texts), len(grams)):
-        bundle = counts[own] @ vectors
+        bundle = letters.bundle(counts[own], grams, alphabet)
         cosine = (bundle @ matrix.T) / np.maximum(np.sqrt((bundle * bundle).sum(1, keepdims=True)), 1e-9)
         best = cosine.argmax(1)
         some = counts[own].any(1)
