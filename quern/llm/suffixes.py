@@ -40,12 +40,12 @@ from quern.llm.arrow import cut, read_table
 LENGTH, WORD = 50, 16
 SPAN = LENGTH - WORD + 1
 WIDEST = LENGTH + SPAN - 1
-CHUNK, BUCKET, BATCH = 6_000_000, 8_000_000, 1 << 16
+CHUNK, BUCKET, BATCH, LEVEL = 6_000_000, 8_000_000, 1 << 16, 5
 BLOCK = 1 << 15
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, most: int = CHUNK) -> DataFrame:
                 {
                     "chunk": pa.array([number], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_bytes": pa.array([size], pa.int64()),
                     "ids": [pack(np.array([i or 0 for i in ids], np.int64))], "null_ids": [pack(np.array([i is None for i in ids], bool))],
-                    "sizes": [pack(np.array([len(t) for _, t in held], np.int64))], "text": [zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in held))],
+                    "sizes": [pack(np.array([len(t) for _, t in held], np.int64))], "text": [zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(t for _, t in held))],
                 }
             )
 
