@@ -5,7 +5,8 @@ is the whole match), ``access`` and ``hex``. The method adds ``novel`` spans. A
 characters of a key's alphabet, with a letter and a digit, that has a sensitive word in the ``CONTEXT``
 characters before it, on its line, and touches no base span. Its novelty is the marginal number of bytes:
 what zstandard, primed with a dictionary of identifiers and ordinary words, needs for the surrounding text with
-the candidate appended, less what it needs without. Candidates of ``BITS`` or more bits a character are
+the candidate appended, less what it needs without; copies of the candidate, whole or in part, are taken out of that
+text. Each distinct candidate of a text is judged once, where it first stands, and reported wherever it occurs. Candidates of ``BITS`` or more bits a character are
 reported: random keys repeat neither the dictionary nor the text around them, identifiers and paths do.
 
 Defined results: a null text counts as empty (no spans); offsets are code points, ends exclusive; texts are
@@ -80,11 +81,42 @@ class Novelty:
 _novelty: list[Novelty] = []
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, without what it has in common with the candidate over ``SHORTEST`` or more characters."""
+    own = {text[i : i + SHORTEST] for i in range(start, end - SHORTEST + 1)}
+    out = []
+    for part in (text[max(0, start - AROUND) : start], text[end : end + AROUND]):
+        at = 0
+        for i in range(len(part) - SHORTEST + 1):
+            if part[i : i + SHORTEST] in own:
+                out.append(part[at:i])
+                at = i + SHORTEST
+        out.append(part[at:])
+    return "".join(out)
+
+
+def occurrences(text: str, candidates: list[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Every place of each candidate in the text that touches no base span and lies in no longer one."""
+    found = set()
+    for c in candidates:
+        s = text.find(c)
+        while s >= 0:
+            found.add((s, -s - len(c)))
+            s = text.find(c, s + len(c))
+    out, last = [], 0
+    for s, e in sorted(found):
+        if -e > last:
+            last = -e
+            if not any(b[0] < -e and s < b[2] for b in base):
+                out.append((s, 3, -e))
+    return out
+
+
 def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates after each sensitive word (start, end) whose novelty is high."""
+    """Candidates after each sensitive word (start, end) whose novelty is high, wherever they occur."""
     if not _novelty:
         _novelty.append(Novelty())
-    found: dict[int, int] = {}
+    novel: dict[str, bool] = {}
     seen = 0
     for _, after in words:
         stop = text.find("\n", after, after + CONTEXT)
@@ -94,11 +126,9 @@ def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, i
                 break
             seen = m.end()
             s, e = m.start(), m.end()
-            if _letter.search(text, s, e) and _digit.search(text, s, e) and not any(b[0] < e and s < b[2] for b in base):
-                around = text[max(0, s - AROUND) : s] + text[e : e + AROUND]
-                if _novelty[0].bits(around, m.group()) >= BITS:
-                    found[s] = e
-    return [(s, 3, e) for s, e in found.items()]
+            if m.group() not in novel and _letter.search(text, s, e) and _digit.search(text, s, e) and not any(b[0] < e and s < b[2] for b in base):
+                novel[m.group()] = _novelty[0].bits(surroundings(text, s, e), m.group()) >= BITS
+    return occurrences(text, [c for c, high in novel.items() if high], base)
 
 
 def all_spans(text: str | None) -> list[tuple[int, int, int]]:

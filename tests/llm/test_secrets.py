@@ -1,0 +1,21 @@
+"""Secrets that the compressor must not miss."""
+
+import random
+import string
+
+import pytest
+
+from quern.llm import secrets
+
+
+def keys(alphabet, length, n, seed=1):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("form", ["Authorization: Bearer {0}\nas in\nAuthorization: Bearer {0}\n", "bearer x={0} and bearer y={0}", "aws credential {0} in use, elsewhere just {0}"])
+def test_repeated_key(form):
+    for key in keys(string.ascii_letters + string.digits, 40, 50):
+        text = form.format(key)
+        assert key not in secrets.masked(text, secrets.all_spans(text))
+        assert sum(kind == 3 for _, kind, _ in secrets.all_spans(text)) == 2
