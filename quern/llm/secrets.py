@@ -2,12 +2,14 @@
 
 Base spans, leftmost and not overlapping within a kind: ``assign`` (a keyword, a separator and a value; the span
 is the whole match), ``access`` and ``hex``. The method adds ``novel`` spans. A candidate is a run of 16 or more
-characters of a key's alphabet, with a letter and a digit, that has a sensitive word in the ``CONTEXT``
-characters before it, on its line, and touches no base span. Its novelty is the marginal number of bytes:
+characters of a key's alphabet, with a letter, that has a sensitive word in the ``CONTEXT`` characters before it or
+follows a reported one within ``NEXT`` (the lines of a long key), and touches no base span but ``hex`` within it. Its novelty is the marginal number of bytes:
 what zstandard, primed with a dictionary of identifiers and ordinary words, needs for the surrounding text with
 the candidate appended, less what it needs without; copies of the candidate, whole or in part, are taken out of that
-text. Each distinct candidate of a text is judged once, where it first stands, and reported wherever it occurs. Candidates of ``BITS`` or more bits a character are
-reported: random keys repeat neither the dictionary nor the text around them, identifiers and paths do.
+text, and so are other runs that are novel to the dictionary alone (the other lines of a key, or other keys). Each distinct candidate of a text is judged once, where it first stands, and reported wherever it occurs. Candidates that need as many bits a character as
+random characters of their classes (hexadecimal, lower case, upper case, digits, signs), and do so in lower case too, are
+reported: random keys
+repeat neither the dictionary nor the text around them, identifiers and paths do.
 
 Defined results: a null text counts as empty (no spans); offsets are code points, ends exclusive; texts are
 scanned whole; repeated rows stay; other columns are ignored.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
+from math import log2
 
 import regex
 import zstandard
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.arrow import map_rows, read_table
 
 KINDS = ("assign", "access", "hex", "novel")
-CONTEXT, AROUND, BITS, SHORTEST = 64, 512, 6.0, 16
+CONTEXT, AROUND, NEXT, SHORTEST = 64, 512, 8, 16
 MASK = "[SECRET]"
 
 # Words that make a context sensitive.
@@ -54,7 +58,8 @@ _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{16,}")
 _sensitive = regex.compile(SENSITIVE, regex.I | regex.A)
 _run = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
-_letter, _digit = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+_letter = re.compile(r"[A-Za-z]")
+_classes = [(re.compile(r"[0-9]"), 10), (re.compile(r"[a-f]"), 6), (re.compile(r"[g-z]"), 20), (re.compile(r"[A-F]"), 6), (re.compile(r"[G-Z]"), 20)]
 
 
 def base_spans(text: str, sensitive: bool) -> list[tuple[int, int, int]]:
@@ -78,6 +83,12 @@ class Novelty:
         return 8 * (len(self.pack(known + candidate.encode())) - len(self.pack(known))) / len(candidate)
 
 
+def allowed(candidate: str) -> float:
+    """Bits of a random character of the classes that the candidate has; a sign is a class of its own."""
+    size = sum(n for one, n in _classes if one.search(candidate)) + len(set("+/_=.-").intersection(candidate))
+    return log2(max(2, size))
+
+
 _novelty: list[Novelty] = []
 
 
@@ -95,8 +106,18 @@ def surroundings(text: str, start: int, end: int) -> str:
     return "".join(out)
 
 
+def known(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans have this place: all but a hex one that is only a part of it."""
+    return any(b[0] < end and start < b[2] and (b[1] != 2 or (b[0] <= start and end <= b[2])) for b in base)
+
+
+def random(candidate: str, around: str = "") -> bool:
+    """Whether the candidate, as it is and in lower case, needs the bits of random characters after ``around``."""
+    return all(_novelty[0].bits(around, form) >= allowed(form) for form in {candidate, candidate.lower()})
+
+
 def occurrences(text: str, candidates: list[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Every place of each candidate in the text that touches no base span and lies in no longer one."""
+    """Every place of each candidate in the text that base spans don't cover and that lies in no longer one."""
     found = set()
     for c in candidates:
         s = text.find(c)
@@ -107,7 +128,7 @@ def occurrences(text: str, candidates: list[str], base: list[tuple[int, int, int
     for s, e in sorted(found):
         if -e > last:
             last = -e
-            if not any(b[0] < -e and s < b[2] for b in base):
+            if not known(s, -e, base):
                 out.append((s, 3, -e))
     return out
 
@@ -117,17 +138,20 @@ def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, i
     if not _novelty:
         _novelty.append(Novelty())
     novel: dict[str, bool] = {}
+    looks = lru_cache(1024)(random)
     seen = 0
     for _, after in words:
-        stop = text.find("\n", after, after + CONTEXT)
-        stop = after + CONTEXT if stop < 0 else stop
+        stop = after + CONTEXT
         for m in _run.finditer(text, max(after, seen)):
             if m.start() >= stop:
                 break
             seen = m.end()
             s, e = m.start(), m.end()
-            if m.group() not in novel and _letter.search(text, s, e) and _digit.search(text, s, e) and not any(b[0] < e and s < b[2] for b in base):
-                novel[m.group()] = _novelty[0].bits(surroundings(text, s, e), m.group()) >= BITS
+            if m.group() not in novel and _letter.search(text, s, e) and not known(s, e, base):
+                around = _run.sub(lambda r: "" if looks(r[0]) else r[0], surroundings(text, s, e))
+                novel[m.group()] = random(m.group(), around)
+            if novel.get(m.group()):
+                stop = max(stop, e + NEXT)
     return occurrences(text, [c for c, high in novel.items() if high], base)
 
 

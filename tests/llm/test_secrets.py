@@ -19,3 +19,38 @@ def test_repeated_key(form):
         text = form.format(key)
         assert key not in secrets.masked(text, secrets.all_spans(text))
         assert sum(kind == 3 for _, kind, _ in secrets.all_spans(text)) == 2
+
+
+ALPHABETS = {
+    "upper hex": "0123456789ABCDEF",
+    "lower": string.ascii_lowercase,
+    "upper": string.ascii_uppercase,
+    "lower alphanumeric": string.ascii_lowercase + string.digits,
+    "letters": string.ascii_letters,
+    "alphanumeric": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+}
+CODE = "def connect(host, port):\n    client = Client(host, port, timeout=30)\n    return client.session(retries=3, user='admin')\n" * 3
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_recall_of_each_alphabet(alphabet):
+    found = []
+    for before, after in [("Authorization: Bearer ", ""), (CODE + "auth = 'Bearer ", "'\n" + CODE), ("-----BEGIN PRIVATE KEY-----\n", "\n"), ("token:\n  ", "\n")]:
+        for length in (16, 32, 64, 128, 256):
+            for key in keys(ALPHABETS[alphabet], length, 25, length):
+                text = before + key + after
+                left = secrets.masked(text, secrets.all_spans(text))
+                found.append(not any(key[i : i + 8] in left for i in range(length - 7)))
+    assert sum(found) >= 0.99 * len(found)
+
+
+def test_lines_of_a_key():
+    lines = keys(ALPHABETS["base64"], 64, 6)
+    text = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+    assert not any(line in secrets.masked(text, secrets.all_spans(text)) for line in lines)
+
+
+def test_clean_text():
+    text = "the token of org.apache.commons.lang3.builder\nthe secret is authentication-and-authorization example_file_name_2.txt\n"
+    assert secrets.all_spans(text) == []
