@@ -128,37 +128,6 @@ class Watched(tuple):
         return super().__iter__()
 
 
-def test_pages(spark):
-    shell = "<html><head><title>t</title></head><body><div>Site name</div><div>Home and more</div>{}<div>All rights reserved</div></body></html>"
-    rows = [(i, f"http://h.example/a/{i}", shell.format(f"<p>Story {i} begins</p><p>and goes &amp; on {'word ' * 20}{i}</p>")) for i in range(200)]
-    marked = "<body><nav><a>m</a></nav><div class='ad'>buy</div><article><h1>T  t</h1><p>One<br>two <b>x</b>y<script>if (a<b) {}</script><p>Same line<aside>no</aside></article><footer>f</footer>"
-    rows += [(500, "http://k.example/1", marked), (501, "http://k.example/2", marked.replace("two", "three")), (502, None, "<p>no url"), (503, "x", ""), (504, "http://k.example/3", None), (504, "http://k.example/3", None)]
-    rows += [(600 + i, f"http://c.example/{i}?u={i}", "<p>one article<p>under two addresses") for i in range(2)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS row", "2 AS host").repartition(5)
-    got = {r["page_id"]: r for r in pages.extract(df).collect()}
-    assert len(got) == len({r[0] for r in rows})
-    for i in range(200):
-        assert got[i]["text"] == f"Story {i} begins\nand goes & on {'word ' * 20}{i}" and got[i]["n_chars"] == len(got[i]["text"])
-    assert got[500]["text"] == "T t\nOne two xy\nSame line" and got[501]["text"] == "T t\nOne three xy\nSame line"
-    assert got[502]["text"] == "no url" and got[503]["text"] == got[504]["text"] == ""
-    assert got[600]["text"] == got[601]["text"] == "one article\nunder two addresses"
-    assert pages.extract(df.limit(0)).count() == 0
-
-
-def test_lines_in_common():
-    rnd = random.Random(6)
-    for _ in range(300):
-        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(9))] for _ in range(2))
-        best = max(n for n in range(len(a) + 1) for c in itertools.combinations(a, n) if subsequence(c, b))
-        got = pages.shared(a, b)
-        assert len(got) == best and all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
-
-
-def subsequence(c, b):
-    it = iter(b)
-    return all(x in it for x in c)
-
-
 def test_language_model(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.sql("SELECT 10001L, 'UNSEEN words only'"))
     rows = [(r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) + ["\n"]) for r in docs.collect()]
