@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.fields import Field
 
@@ -38,6 +41,13 @@ def from_csv(cell: Column, kind: str) -> Column:
     return cell if kind == "string" else cell.try_cast(TYPES[kind])
 
 
+def from_csv_variant(cell: Column, kind: str) -> Column:
+    """A CSV cell for a VARIANT document: as the type, and as the string it is where it doesn't parse."""
+    cell = F.when(cell != "", cell)
+    value = from_csv(cell, kind)
+    return F.coalesce(F.when(value.isNotNull(), value.cast("variant")), cell.cast("variant"))
+
+
 def rescued(cell: Column, kind: str) -> Column:
     """The cell where ``from_csv`` can't keep it."""
     return F.when((cell != "") & from_csv(cell, kind).isNull(), cell)
@@ -52,6 +62,18 @@ def from_json(value: Column, kind: str) -> Column:
     return value if kind in ("string", "objectid") else value.try_cast(TYPES[kind])
 
 
+def coerced(value: Column, kind: T.DataType, fields: Mapping[str, str], name: str | None = None) -> Column:
+    """A JSON value with the declared fields coerced at every depth, by name; an array's elements have no name of their own."""
+    wanted = fields.get(name)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(coerced(value[f.name], f.dataType, fields, f.name).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: coerced(x, kind.elementType, fields))
+    if wanted and isinstance(kind, T.StringType):
+        return from_json(value, wanted)
+    return number_as(value, wanted) if wanted and isinstance(kind, T.NumericType) else value
+
+
 def number_as(value: Column, kind: str) -> Column:
     """A JSON number as a manifest's type: bool is nonzero, int narrows, double widens."""
     if kind == "bool":

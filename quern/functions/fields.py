@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+INTEGER_VARIANT = "^(TINYINT|SMALLINT|INT|BIGINT)$"
 NUMERIC_VARIANT = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
@@ -33,6 +34,10 @@ class Field:
             return F.when(self.shape().rlike(NUMERIC_VARIANT), F.try_variant_get(self.column, "$", "double"))
         return F.lit(None).cast("double")
 
+    def integer(self) -> Column:
+        """Of a VARIANT: as a long where the value is an integer, else null."""
+        return F.when(self.shape().rlike(INTEGER_VARIANT), F.try_variant_get(self.column, "$", "bigint"))
+
     def string(self) -> Column:
         """As a string where the value is a string, else null."""
         if self.kind == "str":

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.errors import QueryError
-from quern.functions.fields import Field, resolve
+from quern.functions.fields import NUMERIC_VARIANT, Field, resolve
 
 COMPARE = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 LONGEST_PATTERN = 256
+EXACT = 1 << 53  # integers from here on are not all doubles
 
 
 def false() -> Column:
@@ -49,6 +50,8 @@ def typed(field: Field, value: object) -> tuple[Column, Column] | None:
             text = value if isinstance(value, str) else value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat()
             return field.column, F.lit(text).try_cast(field.type)
         return None
+    if kind == "num" and isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+        value = float(value)
     if kind == "num" and field.kind in ("num", "variant"):
         return (field.column if field.kind == "num" else field.number()), F.lit(value)
     if kind == "str" and field.kind in ("str", "variant"):
@@ -63,13 +66,28 @@ def compare(field: Field | None, op: str, value: object) -> Column:
     pair = typed(field, value) if field else None
     if pair is None or (kind == "bool" and op not in ("eq", "ne")):
         return false()
+    if field.kind == "variant":
+        return of_variant(field, op, value)
     found = COMPARE[op](*pair)
-    inexact = field.kind == "variant" or isinstance(field.type, (T.DoubleType, T.FloatType))
+    inexact = isinstance(field.type, (T.DoubleType, T.FloatType))
     if kind == "num" and inexact and op in ("gt", "gte"):
         found = found & ~F.isnan(pair[0])  # Spark puts NaN above all numbers
     return found
 
 
+def of_variant(field: Field, op: str, value: object) -> Column:
+    """A comparison within a VARIANT: the value first, and its class, which costs more, on what is left."""
+    kind = class_of(value)
+    if kind != "num":
+        name = "string" if kind == "str" else "boolean"
+        return COMPARE[op](F.try_variant_get(field.column, "$", name), F.lit(value)) & (field.shape() == name.upper())
+    get = F.try_variant_get(field.column, "$", "double")
+    if isinstance(value, int) and EXACT <= abs(value) < 1 << 63:
+        return F.when(field.integer().isNotNull(), COMPARE[op](field.integer(), F.lit(value))).otherwise(COMPARE[op](field.number(), F.lit(float(value))) & ~F.isnan(get))
+    found = COMPARE[op](get, F.lit(float(value))) & field.shape().rlike(NUMERIC_VARIANT)
+    return found & ~F.isnan(get) if op in ("gt", "gte") else found
+
+
 def matches(field: Field | None, pattern: str) -> Column:
     """A literal, anchored where it begins with ^ or ends with $."""
     if field is None or field.kind not in ("str", "variant") or len(pattern) > LONGEST_PATTERN:
@@ -89,6 +107,9 @@ def one_of(field: Field | None, values: Iterable[object]) -> Column:
         by_class.setdefault(class_of(v), []).append(v)
     found = []
     for kind, own in by_class.items():
+        if field and field.kind == "variant" and any(kind == "num" and abs(v) >= EXACT for v in own):
+            found += [compare(field, "eq", v) for v in own]
+            continue
         pairs = [p for v in own if field and (p := typed(field, v))]
         if pairs and kind != "time" and field.kind != "time":
             found.append(pairs[0][0].isin(*own))

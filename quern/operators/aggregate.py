@@ -26,11 +26,11 @@ def aggregate_of(df: DataFrame, function: str, path: str | None) -> Column:
 
 
 def group_key(df: DataFrame, path: str) -> Column:
-    """The value to group by; in a VARIANT its rendering as text. A missing field is the group null."""
+    """The value to group by; in a VARIANT its rendering as text. A missing field, an array or a document there is the group null."""
     field = resolve(df, path)
     if field is None:
         return F.lit(None).cast("string")
-    return F.try_variant_get(field.column, "$", "string") if field.kind == "variant" else field.column
+    return F.when(~field.shape().rlike("^(ARRAY|OBJECT)"), F.try_variant_get(field.column, "$", "string")) if field.kind == "variant" else field.column
 
 
 def aggregate(df: DataFrame, by: Sequence[str], aggregates: Sequence[tuple[str, str, str | None]]) -> DataFrame:

@@ -12,9 +12,10 @@ from quern.functions.coercions import from_csv
 from quern.functions.predicates import predicate
 from quern.operators.changes import changes, deleted, new_key, state, updated
 from quern.operators.nest import embed, flatten
-from quern.plans.query import Query, get, hex_key, key_range, scan
+from quern.plans.query import Query, get, hex_key, key_range, keyed, scan, scan_stores
 from quern.sources import bson
-from quern.sources.files import read_csv, write_csv
+from quern.sources.files import export_by_manifest, import_json, read_csv, write_csv
+from quern.sources.manifest import Manifest
 from quern.sources.shared import shared_folder
 from quern.streaming.watch import published, replica, replicate, stream, watch
 
@@ -28,11 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(df: DataFrame, number: str) -> DataFrame:
-    """The table as a store: its number as the key, first."""
-    return df.select(hex_key(F.col(number)).alias("key"), "*")
-
-
 def query(sql: str | None) -> Callable[[Run], Run]:
     """Registers a query under its function's name."""
 
@@ -151,9 +147,10 @@ def filter_regex_exact(s: SparkSession, d: str) -> DataFrame:
     return Query(table(s, d, "part")).where("p_type", "regex", "^PROMO$").frame()
 
 
-@query("SELECT * FROM part WHERE contains(p_name, 'a.i')")
+@query("SELECT * FROM documents WHERE contains(text, '. ') AND contains(lang, 'e')")
 def filter_regex_literal(s: SparkSession, d: str) -> DataFrame:
-    return Query(table(s, d, "part")).where("p_name", "regex", "a.i").frame()
+    """A dot is a dot."""
+    return Query(table(s, d, "documents")).where("text", "regex", ". ").where("lang", "regex", "e").frame()
 
 
 @query("SELECT * FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
@@ -161,9 +158,10 @@ def filter_between(s: SparkSession, d: str) -> DataFrame:
     return Query(table(s, d, "orders")).matching({"o_totalprice": {"$between": [1000, 50000]}}).frame()
 
 
-@query("SELECT * FROM orders WHERE false")
+@query("SELECT * FROM orders WHERE o_orderstatus = 'P'")
 def filter_type_mismatch(s: SparkSession, d: str) -> DataFrame:
-    return Query(table(s, d, "orders")).where("o_orderkey", "ne", "abc").frame()
+    """A number is neither equal nor unequal to a string."""
+    return Query(table(s, d, "orders")).where("o_orderkey", "ne", "abc").or_("o_orderstatus", "eq", "P").frame()
 
 
 @query("SELECT * FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 200000) OR o_orderpriority = '1-URGENT'")
@@ -219,9 +217,11 @@ def agg_global(s: SparkSession, d: str) -> DataFrame:
     return found.frame().withColumn("a", F.round("a", 6))
 
 
-@query("SELECT count(*) AS n, coalesce(sum(o_totalprice), 0) AS s FROM orders WHERE o_totalprice < 0 HAVING count(*) > 0")
+@query("SELECT count(*) AS n, coalesce(sum(CASE WHEN o_totalprice < 0 THEN o_totalprice END), 0) AS s FROM orders WHERE o_totalprice < 0 HAVING count(*) > 0 UNION ALL SELECT count(*), 0 FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0")
 def agg_empty(s: SparkSession, d: str) -> DataFrame:
-    return Query(table(s, d, "orders")).where("o_totalprice", "lt", 0).aggregate(n="count", s=("sum", "o_totalprice")).frame()
+    """No documents give no row; documents without a number give 0."""
+    none = Query(table(s, d, "orders")).where("o_totalprice", "lt", 0).aggregate(n="count", s=("sum", "o_totalprice")).frame()
+    return none.unionAll(Query(table(s, d, "orders")).where("o_orderstatus", "eq", "P").aggregate(n="count", s=("sum", "o_orderstatus")).frame())
 
 
 @query("SELECT coalesce(sum(try_cast(c_name AS DOUBLE)), 0.0::DOUBLE) AS s, coalesce(min(try_cast(c_name AS DOUBLE)), 0.0::DOUBLE) AS m FROM customer")
@@ -351,10 +351,77 @@ def generated_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", new_key(7, 4, 0, F.col("o_orderkey")).alias("key"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS value FROM range(1, 4) t(i)")
+@query("SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS value FROM nation WHERE n_regionkey = 1")
 def sequence_next(s: SparkSession, d: str) -> DataFrame:
-    catalog = Catalog(s)
-    return s.createDataFrame([(catalog.next_sequence("orders"),) for _ in range(3)], "value long")
+    """Numbers for a few documents from a sequence that is kept in files."""
+    names, path = Query(table(s, d, "nation")).where("n_regionkey", "eq", 1).order_by("n_nationkey").pluck("n_name").frame().collect(), shared_folder(s)
+    rows = [(r[0], Catalog.at(s, path).next_sequence("nations")) for r in names[:2]]
+    catalog = Catalog.at(s, path)
+    return s.createDataFrame(rows + [(r[0], catalog.next_sequence("nations")) for r in names[2:]], "n_name string, value long")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_orderstatus IN ('F', 'O') ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20 OFFSET 5")
+def json_query_sort_page(s: SparkSession, d: str) -> DataFrame:
+    spec = """{"filter": {"o_totalprice": {"$gte": 1000}, "$or": [{"o_orderstatus": "F"}, {"o_orderstatus": "O"}]},
+               "orderBy": [{"field": "o_totalprice", "direction": "desc"}, {"field": "o_orderkey", "direction": "desc"}], "limit": 20, "skip": 5,
+               "pluck": ["o_orderkey", "o_orderstatus", "o_totalprice"]}"""
+    return Query.of(table(s, d, "orders"), spec).result()
+
+
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events WHERE value BETWEEN 1 AND 100 GROUP BY 1")
+def json_query_group(s: SparkSession, d: str) -> DataFrame:
+    spec = {"filter": {"value": {"$between": [1, 100]}}, "aggregate": {"n": {"$count": True}, "total": {"$sum": "props.k"}}, "group_by": ["event_type"], "sort": {"n": -1}}
+    return Query.of(events(s, d), spec).result()
+
+
+@query("SELECT greatest(0, least(count(*) - 3, 40)) AS count FROM orders WHERE starts_with(o_orderpriority, '1-')")
+def json_query_count(s: SparkSession, d: str) -> DataFrame:
+    return Query.of(table(s, d, "orders"), '{"filter": {"o_orderpriority": {"$startsWith": "1-"}}, "count": true, "limit": 40, "offset": 3}').result()
+
+
+@query("SELECT event_id FROM events WHERE 9007199254740992 + event_id IN (9007199254740993, 9007199254740995) OR 9007199254740992 + event_id > 9007199254740999")
+def variant_big_int(s: SparkSession, d: str) -> DataFrame:
+    """Integers that are no doubles, in documents."""
+    docs = table(s, d, "events").select("event_id", F.parse_json(F.format_string('{"v": %d}', F.col("event_id") + 9007199254740992)).alias("doc"))
+    return Query(docs).where("v", "in", [9007199254740993, 9007199254740995]).or_("v", "gt", 9007199254740999).pluck("event_id").frame()
+
+
+@query("""SELECT event_id, CASE WHEN k >= 50 THEN 'high' END AS level, CASE WHEN k >= 50 THEN 0 ELSE k END AS k
+          FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+def update_set_document(s: SparkSession, d: str) -> DataFrame:
+    """Fields set in documents: one anew, one in place of what is there."""
+    docs = table(s, d, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    out = updated(docs, predicate(docs, "k", "gte", 50), {"level": "high", "k": 0})
+    return out.select("event_id", F.try_variant_get("doc", "$.level", "string").alias("level"), F.try_variant_get("doc", "$.k", "bigint").alias("k"))
+
+
+@query("SELECT l_orderkey AS order_id, l_linenumber AS line, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+def export_by_manifest_children(s: SparkSession, d: str) -> DataFrame:
+    """Orders and their items written as a manifest says; the items read again."""
+    items = table(s, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderstatus")
+    store, path = keyed(embed(orders, items, "order_id", "items", keep_key=False), "order_id"), shared_folder(s)
+    entities = [{"name": "orders", "fields": [{"name": "order_id", "type": "int"}]}, {"name": "items", "role": "child", "parent_field": "items", "join_key": "order_id", "fields": [{"name": "line", "type": "int"}, {"name": "quantity", "type": "double"}]}]
+    export_by_manifest(store, Manifest.of({"store": "orders", "format": "csv", "output_dir": path, "query": '{"filter": {"o_orderstatus": "P"}}', "entities": entities}))
+    return read_csv(s, f"{path}/items", [("order_id", "int"), ("line", "int"), ("quantity", "double")]).select("order_id", "line", "quantity")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS total, o_custkey AS customer, o_custkey % 2 = 1 AS odd FROM orders")
+def import_json_nested(s: SparkSession, d: str) -> DataFrame:
+    """JSON whose fields are strings or numbers, coerced at every depth."""
+    path, o = shared_folder(s), table(s, d, "orders")
+    text = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.col("o_totalprice").cast("string").alias("total"), F.array(F.struct(F.col("o_custkey").cast("string").alias("customer"), (F.col("o_custkey") % 2).alias("odd"))).alias("by")).alias("inner")))
+    o.select(text.alias("value")).write.text(path)
+    read = import_json(s, path, [("id", "int"), ("total", "double"), ("customer", "int"), ("odd", "bool")])
+    return read.select("id", "inner.total", F.col("inner.by")[0]["customer"].alias("customer"), F.col("inner.by")[0]["odd"].alias("odd"))
+
+
+@query(
+    "SELECT * FROM (SELECT 'nation' AS store, lpad(lower(to_hex(n_nationkey)), 32, '0') AS key, n_name AS name FROM nation UNION ALL SELECT 'region', lpad(lower(to_hex(r_regionkey)), 32, '0'), r_name FROM region) WHERE key >= lpad('1', 32, '0') ORDER BY key, store LIMIT 12 OFFSET 2"
+)
+def scan_all_stores(s: SparkSession, d: str) -> DataFrame:
+    stores = {"nation": keyed(table(s, d, "nation").withColumnRenamed("n_name", "name"), "n_nationkey"), "region": keyed(table(s, d, "region").withColumnRenamed("r_name", "name"), "r_regionkey")}
+    return scan_stores(stores, "1", skip=2, limit=12).select("store", "key", F.try_variant_get("doc", "$.name", "string").alias("name"))
 
 
 @query("SELECT 'shop.nation' AS store UNION ALL SELECT 'shop.region'")

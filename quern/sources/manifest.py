@@ -50,7 +50,9 @@ class Manifest:
         """A manifest from a mapping, as a YAML or JSON reader gives it."""
         if not spec.get("store"):
             raise ManifestError("no store")
-        if (kind := spec.get("format", "csv")) not in FORMATS:
+        if not (kind := spec.get("format")):
+            raise ManifestError("no format")
+        if kind not in FORMATS:
             raise ManifestError(f"unknown format: {kind}")
         entities = []
         for e in spec.get("entities") or ():
@@ -72,6 +74,12 @@ class Manifest:
         return Manifest(spec["store"], kind, spec.get("output_dir"), spec.get("query"), tuple(entities))
 
 
+    def mapping(self) -> dict:
+        """As ``of`` takes it; in JSON text it is YAML, too."""
+        entities = [{k: v for k, v in vars(e).items() if v is not None and k != "fields"} | {"fields": [{"name": n, "type": t} for n, t in e.fields]} for e in self.entities]
+        return {k: v for k, v in vars(self).items() if v is not None and k != "entities"} | {"entities": entities}
+
+
 def expand(text: str, now_ms: int) -> str:
     """Variables of dates as epoch milliseconds; days begin at midnight UTC."""
     today = now_ms - now_ms % DAY_MS

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new place in the folder the session names for checkpoints; only where none is set (tests), under /tmp."""
+    """A new place in the folder the session names for checkpoints. Where none is set, one under /tmp, if all is one process."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and executors of {master} share no local folder")
         top = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: short lineage that survives lost executors."""
+def written(df: DataFrame, **options: object) -> DataFrame:
+    """``df`` as a table in the shared folder: short lineage that survives lost executors. options: the writer's."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,14 +33,14 @@ def published(masks: Mapping[str, Sequence[str]]) -> Column:
 def watch(log: DataFrame, stores: Sequence[str] = (), since: int = 0, max_records: int = 0, retention: int | None = None) -> DataFrame:
     """Changes with lsn > since, in order, ``max_records`` at most (0: 256). No stores: all.
 
-    With ``retention`` only that many newest changes can be read; an older cursor is an error, but for 0.
+    With ``retention`` only that many newest changes can be read; a cursor before the oldest of them is an error, but for 0.
     """
     kept = log
     if retention is not None:
         high = log.agg(F.max("lsn")).first()[0]
         oldest = log.orderBy(F.desc("lsn")).limit(retention).agg(F.min("lsn")).first()[0] if high is not None else None
         if oldest is not None:
-            if 0 < since < oldest - 1:
+            if 0 < since < oldest:
                 raise CursorBehindRetention(f"{since} is before {oldest}")
             kept = log.where(F.col("lsn") >= oldest)
     found = kept.where(F.col("lsn") > since)

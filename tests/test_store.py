@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.errors import CursorBehindRetention, ManifestError, QueryError
-from quern.functions.coercions import from_csv, from_json, number_as, rescued
+from quern.functions.coercions import from_csv, from_csv_variant, from_json, number_as, rescued
 from quern.functions.predicates import from_spec, predicate
-from quern.operators.changes import changes, compacted, deleted, new_key, state, updated
+from quern.operators.aggregate import as_document
+from quern.operators.changes import changes, compacted, deleted, inserted, new_key, next_lsn, replaced, state, updated
 from quern.operators.nest import embed_all, split
-from quern.plans.query import Query, get, hex_key, key_range, key_text, scan
+from quern.plans.query import Query, get, hex_key, key_range, key_text, keyed, scan, scan_stores
 from quern.sources import bson
-from quern.sources.files import csv_ready, export_csv, export_json, import_csv, import_json, json_array, read_csv
+from quern.sources.files import csv_ready, export_by_manifest, export_csv, export_json, import_csv, import_json, json_array, read_csv, write_csv
 from quern.sources.manifest import Manifest, expand
 from quern.sources.shared import shared_folder
 from quern.streaming.watch import cursor_after, published, replica, replicate, stream, watch
@@ -191,9 +192,10 @@ def test_watch(spark, tmp_path):
     lsns = lambda df: [r["lsn"] for r in df.collect()]
     assert lsns(watch(log, since=3)) == [4, 5, 6, 7, 8, 9, 10] and lsns(watch(log, ["orders"], since=3, max_records=2)) == [5, 7]
     assert cursor_after(watch(log, since=3, max_records=2), 3) == 5 and cursor_after(watch(log, since=10), 10) == 10
-    assert lsns(watch(log, retention=3)) == [8, 9, 10] and lsns(watch(log, since=7, retention=3)) == [8, 9, 10]
-    with pytest.raises(CursorBehindRetention):
-        watch(log, since=5, retention=3)
+    assert lsns(watch(log, retention=3)) == [8, 9, 10] and lsns(watch(log, since=8, retention=3)) == [9, 10]
+    for since in (5, 7):
+        with pytest.raises(CursorBehindRetention):
+            watch(log, since=since, retention=3)
     assert lsns(log.where(published({"orders": ["delete"]}))) == [9]
     with pytest.raises(QueryError):
         published({"orders": ["read"]})
@@ -225,17 +227,18 @@ def test_manifest_and_nesting(spark):
     for name, body in text.items():
         spark.createDataFrame([(body.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
     manifest = Manifest.of(MANIFEST)
-    got = {r["order_id"]: r for r in import_csv(spark, folder, manifest).collect()}
+    got = {r["order_id"]: r for r in import_csv(spark, folder, manifest, multiline=True).collect()}
     assert [i["item_id"] for i in got[1]["items"]] == [10, 11] and got[1]["items"][1]["attrs"] is None and got[3]["items"] is None and got[3]["total"] is None
     assert sorted(a["attr_name"] for a in got[1]["items"][0]["attrs"]) == ['a, "quoted"', "two\nlines"]
     parts = split(import_csv(spark, folder, manifest).withColumn("key", hex_key(F.col("order_id"))))
     assert set(parts) == {"", "items"} and parts["items"].columns[:2] == ["_parent_id", "order_id"] and parts["items"].count() == 3
     bad = read_csv(spark, f"{folder}/orders", [("order_id", "int"), ("total", "double")], rescue=True)
     assert [r["_rescued"] for r in bad.collect()] == [None, None, '{"total":"x"}']
-    for wrong in ({}, {"store": "s", "format": "xml"}, {"store": "s", "entities": [{"name": "a", "role": "child"}]}, {"store": "s", "entities": [{"name": "a", "role": "aunt"}]},
-                  {"store": "s", "entities": [{"name": "a", "fields": [{"name": "x", "type": "decimal"}]}]}, {"store": "s", "entities": [{"name": "a", "parent": "b"}]}, {"store": "s", "entities": [{}]}):
+    wrong = [{"name": "a", "role": "child"}, {"name": "a", "role": "aunt"}, {"name": "a", "fields": [{"name": "x", "type": "decimal"}]}, {"name": "a", "parent": "b"}, {}]
+    for spec in ({}, {"format": "csv"}, {"store": "s"}, {"store": "s", "format": "xml"}, *({"store": "s", "format": "csv", "entities": [e]} for e in wrong)):
         with pytest.raises(ManifestError):
-            Manifest.of(wrong)
+            Manifest.of(spec)
+    assert Manifest.of(manifest.mapping()) == manifest
     with pytest.raises(ManifestError):
         embed_all({"orders": spark.range(1), "items": spark.range(1), "attributes": spark.range(1)}, manifest)
     assert expand("${today} ${yesterday} ${now}", 90_000_000) == "86400000 0 90000000"
@@ -243,8 +246,14 @@ def test_manifest_and_nesting(spark):
 
 def test_files(spark, people):
     folder = shared_folder(spark)
-    names = export_csv(Query(people).where("age", "exists"), f"{folder}/csv")
-    assert names == ["documents", "addr"] and read_csv(spark, f"{folder}/csv/documents").count() == 4
+    manifest = export_csv(Query(people).where("age", "exists"), f"{folder}/csv")
+    assert [e.name for e in manifest.entities] == ["documents", "addr"] and read_csv(spark, f"{folder}/csv/documents").count() == 4
+    assert Manifest.of(json.loads(spark.read.text(f"{folder}/csv/manifest").first()[0])) == manifest
+    again = {r["_id"]: r for r in import_csv(spark, f"{folder}/csv", manifest).collect()}
+    assert {k[-1] for k in again} == {"1", "2", "4", "5"} and again["0" * 31 + "1"]["addr"][0]["zip"] == 10001 and again["0" * 31 + "1"]["score"] == 9500
+    texts = spark.createDataFrame([("", 1), (None, 2), ('a,"b"', 3)], "t string, n int")
+    write_csv(texts, f"{folder}/texts")
+    assert sorted((r["n"], r["t"]) for r in read_csv(spark, f"{folder}/texts", [("n", "int")]).collect()) == [(1, ""), (2, None), (3, 'a,"b"')]
     assert csv_ready(people).where("name = 'Bob'").first()["tags"] == "[]"
     export_json(Query(people).pluck("name", "age"), f"{folder}/json")
     assert sorted(r["age"] for r in import_json(spark, f"{folder}/json", [("age", "double")]).where("age IS NOT NULL").collect()) == [25.0, 30.0, 30.0, 41.0]
@@ -260,7 +269,12 @@ def test_catalog(spark, people):
     c = Catalog(spark)
     assert c.create("shop.people", lambda: people) and not c.create("shop.people", lambda: people)
     assert c.query("shop.people").count().first()[0] == 5 and c.create_index("shop.people.age", "I32")
+    assert not c.create_index("shop.people.age", "I32") and c.drop_index("shop.people.age") and not c.drop_index("shop.people.age") and c.create_index("shop.people.age", "I32")
+    assert c.query("shop.people", {"sort": {"age": 1}, "limit": 1}, strict_index=True).frame().first()["age"] == 25
+    with pytest.raises(QueryError):
+        c.query("shop.people", {"sort": {"name": 1}}, strict_index=True)
     c.create("sales.x", lambda: people)
+    assert [r["store"] for r in c.scan("4", limit=3).collect()] == ["sales.x", "shop.people", "sales.x"]
     assert [r[0] for r in c.stores("shop").collect()] == ["shop.people"] and c.list_indexes().count() == 1
     assert [c.next_sequence("s"), c.next_sequence("s"), c.next_sequence("t")] == [1, 2, 1]
     other = Catalog(spark)
@@ -272,6 +286,115 @@ def test_catalog(spark, people):
             bad()
 
 
+def test_catalog_is_kept(spark, people, tmp_path):
+    path = f"{tmp_path}/catalog"
+    one = Catalog.at(spark, path)
+    one.create("s", lambda: people)
+    assert [one.next_sequence("a"), one.next_sequence("a"), one.next_sequence("b")] == [1, 2, 1] and one.create_index("s.age", "I32")
+    two = Catalog.at(spark, path)
+    assert two.next_sequence("a") == 3 and two.indexes == {"s.age": "I32"}
+    assert Catalog.at(spark, path).next_sequence("a") == 4
+
+
+def test_json_queries(spark, people, documents):
+    run = lambda df, spec: [int(r["key"], 16) for r in Query.of(df, spec).result().collect()]
+    spec = {"filter": {"name": "Alice"}, "sort": {"score": -1}, "limit": 5}
+    assert run(people, spec) == [1, 4] == run(documents, spec) and run(people, json.dumps(spec)) == [1, 4]
+    assert run(people, {"orderBy": {"field": "age", "direction": "desc"}, "limit": 2}) == [2, 4] and run(people, {"orderBy": [{"field": "name"}, {"field": "score", "direction": "asc"}], "offset": 1, "limit": 2}) == [1, 2]
+    assert run(people, {"after": "0x2", "limit": 2}) == [3, 4] and run(people, {"sort": {"age": 1}, "skip": 3, "offset": 1, "limit": 1}) == [1]
+    assert run(people, {"filter": {"age": {"$gte": 18, "$lt": 41}}, "sort": {"age": 1}}) == [5, 1, 4] and run(documents, {"filter": {"score": {"$between": [10, 500]}}}) == [2]
+    for name in ("select", "$select", "pluck", "$pluck", "projection"):
+        assert Query.of(people, {name: ["addr.city", "age"]}).result().columns == ["key", "addr.city", "age"]
+    assert Query.of(people, {"count": True, "filter": {"age": {"$exists": True}}, "offset": 1, "limit": 2}).result().first()[0] == 2
+    groups = Query.of(people, {"aggregate": {"n": {"$count": True}, "s": {"$sum": "score"}}, "group_by": ["name"], "sort": {"n": -1}}).result()
+    assert tuple(groups.first()) == ("Alice", 2, 9507.0)
+    shaped = as_document(groups, ["name"], ["n", "s"]).first()
+    assert shaped["key"]["name"] == "Alice" and shaped["values"]["n"] == 2
+    assert {tuple(r) for r in Query.of(documents, {"filter": {"v": {"$exists": True}}, "aggregate": {"n": {"$count": True}}, "groupBy": ["v"]}).result().collect()} == {("1", 1), ("2.5", 1), ("3", 1), ("x", 1), ("true", 1), (None, 3)}
+    for bad in ("[1]", "{", {"where": {}}, {"filter": []}, {"sort": []}, {"orderBy": "a"}, {"orderBy": [{"direction": "asc"}]}, {"limit": -1}, {"limit": "1"}, {"limit": True}, {"after": 5}, {"select": "a"}, {"select": []}, {"aggregate": {}}, {"aggregate": {"n": {"count": True}}}, {"aggregate": {"n": {"$median": "a"}}}, {"aggregate": {"n": {"$sum": "a", "$avg": "a"}}}, {"group_by": [1]}, {"count": 3}):
+        with pytest.raises(QueryError):
+            Query.of(people, bad).result()
+
+
+def test_exact_integers_in_documents(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(f"{i:032x}", json.dumps({"v": v})) for i, v in enumerate([big, big - 1, big + 1, float(big), "9007199254740993", True, 1 << 62])], "key string, d string").select("key", F.parse_json("d").alias("doc"))
+    found = lambda *p: keys(docs.where(predicate(docs, "v", *p)))
+    # an integer meets a fraction as doubles
+    assert found("eq", big) == [0, 3] and found("ne", big) == [1, 2, 6] and found("gt", big) == [2, 6] and found("lte", big) == [0, 1, 3] and found("in", [big, "9007199254740993"]) == [0, 3, 4]
+    assert found("eq", big - 1) == [1, 3] and found("gt", 1 << 70) == [] and found("lt", 1 << 70) == [0, 1, 2, 3, 6] and found("eq", 1 << 62) == [6]
+
+
+def test_set_in_documents(spark, documents):
+    hit = predicate(documents, "age", "gte", 30)
+    out = {int(r["key"], 16): json.loads(r["d"]) for r in updated(documents, hit, {"score": None, "fresh": {"a": [1]}, "name": "x"}).select("key", F.to_json("doc").alias("d")).collect()}
+    assert out[1] == {"name": "x", "age": 30, "score": None, "active": True, "rating": 4.5, "addr": {"city": "NYC", "zip": 10001}, "fresh": {"a": [1]}}
+    assert "fresh" not in out[5] and out[100] == {"v": 1} and updated(documents, hit, {}) is documents
+    odd = spark.createDataFrame([("1", "[1]"), ("2", "3"), ("3", None)], "key string, d string").select("key", F.parse_json("d").alias("doc"))
+    assert [r[0] for r in updated(odd, F.lit(True), {"a": 1}).select(F.to_json("doc")).collect()] == ["[1]", "3", None]
+    with pytest.raises(QueryError):
+        updated(documents, hit, {"addr.city": "x"})
+
+
+def test_inserts_and_updates_by_key(spark):
+    rows = spark.createDataFrame([(f"n{i}", i) for i in range(20)], "name string, n int").repartition(4)
+    log = inserted(rows, "s", 7, 5, 1_700_000_000_000).cache()
+    assert sorted(r["lsn"] for r in log.collect()) == list(range(5, 25)) and len({r["key"] for r in log.collect()}) == 20 and next_lsn(log) == 25
+    assert all(len(r["key"]) == 32 and r["key"].startswith("000704") for r in log.collect()) and next_lsn(log.limit(0)) == 1
+    key = log.where("n = 3").first()["key"]
+    change = replaced(log, key, spark.createDataFrame([("new", 33)], "name string, n int"), "s", 1)
+    after = state(log.unionByName(change))
+    assert after.count() == 20 and tuple(after.where(F.col("key") == key).select("lsn", "name", "n").first()) == (25, "new", 33)
+    assert replaced(log, "f" * 32, rows.limit(1), "s", 1).count() == 0
+
+
+def test_export_by_manifest(spark, people):
+    folder = shared_folder(spark)
+    spec = {"store": "people", "format": "csv", "output_dir": folder, "query": '{"filter": {"score": {"$lt": "${now}"}}}'.replace('"${now}"', "${now}"), "entities": [
+        {"name": "who", "file": "who.csv", "fields": [{"name": "name"}, {"name": "age", "type": "int"}, {"name": "none"}]},
+        {"name": "place", "role": "child", "parent_field": "addr", "join_key": "name", "fields": [{"name": "city"}, {"name": "nothing"}]}]}
+    paths = export_by_manifest(people, Manifest.of(spec), now_ms=8000)
+    assert paths == [f"{folder}/who.csv", f"{folder}/place"]
+    who, place = read_csv(spark, paths[0], [("age", "int")]), read_csv(spark, paths[1])
+    assert who.columns == ["_id", "name", "age", "none"] and place.columns == ["_parent_id", "name", "city", "nothing"]
+    assert sorted((r["_id"][-1], r["age"]) for r in who.collect()) == [("2", 41), ("4", 30), ("5", 25)] and sorted(r["city"] or "" for r in place.collect()) == ["", "LA", "NYC"]
+    for kind in ("json", "bson"):
+        assert export_by_manifest(people, Manifest.of({"store": "p", "format": kind, "output_dir": f"{folder}/{kind}"})) == [f"{folder}/{kind}/export.{kind}"]
+    assert spark.read.json(f"{folder}/json/export.json").count() == 5
+    with pytest.raises(ManifestError):
+        export_by_manifest(people, Manifest.of({"store": "p", "format": "csv"}))
+
+
+def test_nested_json_coercion(spark):
+    folder = shared_folder(spark)
+    text = '{"age":"30","score":4.5,"active":true,"name":"bob","tags":["a","b"],"addr":{"city":"NYC","age":"7"},"kids":[{"age":"1","score":"2"},{"age":"x"}]}'
+    spark.createDataFrame([(text,), ("7",), ('{"age":"31"}',)], "value string").coalesce(1).write.text(folder)
+    got = import_json(spark, folder, [("age", "int"), ("score", "double"), ("tags", "int")]).where("age IS NOT NULL").orderBy("age").collect()
+    assert [r["age"] for r in got] == [30, 31] and got[0]["addr"]["age"] == 7 and [k["age"] for k in got[0]["kids"]] == [1, None] and got[0]["kids"][0]["score"] == 2.0 and got[0]["tags"] == ["a", "b"] and got[1]["addr"] is None
+    cells = spark.createDataFrame([("7",), ("7x",), ("",), (None,)], "c string").select(F.to_json(from_csv_variant(F.col("c"), "int")).alias("v"))
+    assert [r[0] for r in cells.collect()] == ["7", '"7x"', None, None]
+
+
+def test_scan_of_all_stores(spark, people, documents):
+    got = scan_stores({"b": people, "a": documents}, "4", limit=4).collect()
+    assert [(r["store"], int(r["key"], 16)) for r in got] == [("a", 4), ("b", 4), ("a", 5), ("b", 5)]
+    with pytest.raises(QueryError):
+        scan_stores({})
+
+
+def test_keys_of_numbers(spark):
+    """Reads by key are also bounds of the number, negative ones after all others."""
+    numbers = [-5, -1, 0, 1, 41, 42, 43, 1 << 40, (1 << 63) - 1]
+    store = keyed(spark.createDataFrame([(n,) for n in numbers], "n long"), "n")
+    found = lambda df: {r["n"] for r in df.collect()}
+    assert found(get(store, "2a")) == {42} and found(key_range(store, "1", "2a")) == {1, 41, 42} and found(scan(store, "2b")) == {43, 1 << 40, (1 << 63) - 1, -5, -1}
+    assert found(Query(store).after("2b").frame()) == {1 << 40, (1 << 63) - 1, -5, -1} and found(get(store, "f" * 16)) == {-1} and found(key_range(store, "2b", "f" * 16)) == {43, 1 << 40, (1 << 63) - 1, -5, -1}
+    orders = keyed(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), "o_orderkey")
+    for df in (get(orders, "2a"), key_range(orders, "1", "9"), scan(orders, "2a", limit=3), Query(orders).after("2a").limit(3).frame()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [" in plan and "(o_orderkey," in plan.split("PushedFilters: [")[1]
+
+
 def test_plans(spark):
     """Filters reach the scan, columns are pruned, limits become a top-k, aggregates shuffle once."""
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
