@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quern.sources.shared import written
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a test-data folder, through Spark's reader so that any file system works."""
@@ -50,22 +51,9 @@ def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBa
         start += n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; only where none is set (tests), one under /tmp."""
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return found
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there: short lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, **{"compression": "zstd", "parquet.block.size": 16 << 20})
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):
