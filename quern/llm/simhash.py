@@ -11,8 +11,9 @@ plus estimated candidates, the estimate being a histogram of the part's values o
 a part). It is indexed once in each part and probes every value within t_i of its own; what meets in a value is
 verified over all 64 bits. The number of parts follows from the number of fingerprints by the same cost.
 
-Skew: only distinct fingerprints take part, so exact copies never meet. A value with more than ``BLOCK`` rows is
-dealt out as blocks of index rows against blocks of probes. A group emits the edges of a spanning forest, not its
+Skew: only distinct fingerprints take part, so exact copies never meet. Values that nothing probes, and those of one row,
+go before rows are sorted by value. A probed value with more than 2 ``BLOCK`` rows is dealt out as blocks of index rows
+against blocks of probes. A group emits the edges of a spanning forest, not its
 pairs. Components are found by large-star and small-star steps.
 
 Defined results: a null text counts as empty; rows of one doc_id count as one document; a null doc_id links
@@ -211,11 +212,12 @@ def forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 def verify(rows: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) between fingerprints that meet in a key and differ in at most ``radius`` bits."""
-    hot = rows.groupBy("key").agg(F.sum(F.col("role") % 2).alias("n_index"), F.sum((F.col("role") > 1).cast("long")).alias("n_probe")).where(f"n_probe > 0 AND n_index + n_probe > {2 * BLOCK}")
-    hot = hot.select("key", F.ceil(F.col("n_index") / BLOCK).alias("wide"), F.ceil(F.col("n_probe") / BLOCK).alias("high"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("role") % 2).alias("n_index"), F.sum((F.col("role") > 1).cast("long")).alias("n_probe"))
+    blocks = lambda n: F.when(F.col("n_index") + F.col("n_probe") > 2 * BLOCK, F.ceil(F.col(n) / BLOCK)).otherwise(1)
+    met = counts.where("n > 1 AND n_index > 0 AND n_probe > 0").select(F.col("key").alias("of"), blocks("n_index").alias("wide"), blocks("n_probe").alias("high"))
     put = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    joined = rows.join(hot, "key", "left").select("key", "node", "fp", "role", F.coalesce("wide", F.lit(1).cast("long")).alias("wide"), F.coalesce("high", F.lit(1).cast("long")).alias("high"))
+    joined = rows.join(met, F.col("key") == F.col("of")).drop("of")
     whole = joined.where("wide = 1 AND high = 1").select("key", F.lit(0).cast("long").alias("block"), "node", "fp", "role")
     big = joined.where("wide > 1 OR high > 1")
     index = big.where("role <> 2").select("key", F.explode(F.transform(every(F.col("high")), lambda h: put(F.col("wide"), 1) * F.col("high") + h)).alias("block"), "node", "fp", F.lit(1).cast("long").alias("role"))

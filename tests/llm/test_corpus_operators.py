@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import hmm, mtree, pages, simhash, suffixes
 from quern.llm.components import components
@@ -82,6 +83,15 @@ def test_simhash_large_groups(spark, monkeypatch):
     assert [roots.get(i, i) for i in range(len(fps))] == root
 
 
+def test_simhash_values_without_probes(spark):
+    """Rows of a value that nothing probes reach no task."""
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, (rnd.getrandbits(31) << 32) | 77) for i in range(4000)], "node long, fp long")
+    rows = df.select((F.col("fp") % 4294967296).alias("key"), "node", "fp", F.lit(1).cast("long").alias("role"))
+    rows = rows.union(df.select(F.shiftright("fp", 32), "node", "fp", F.lit(3).cast("long")))
+    assert simhash.verify(rows, 3).count() == 0
+
+
 def brute_top(rows, k=5):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
