@@ -7,7 +7,8 @@ prototype bundles its training texts, each scaled by the length of its count vec
 prototype of the largest cosine, and the score that cosine, 0 at least.
 
 Training adds up over all labelled training rows: tasks bundle what they read and emit one row for each language
-and dimension, which Spark sums. What reaches the driver is one vector for each language.
+and dimension, which Spark sums. What reaches the driver is one vector for each language. Counts are kept for pairs of
+a text and a trigram of it, and dense for ``GRAMS`` trigrams at a time, so a worker's memory follows the slice of texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if there is
 nothing to learn from; equal cosines go to the language that sorts first; whole texts are read; repeated rows
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from quern.llm.arrow import held_out, map_rows, read_table, slices
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20_090, "und"
-MOST_LANGUAGES = 10_000
 ROWS, CHARS, GRAMS = 256, 1_500_000, 4096
 
 _letters: list[np.ndarray] = []
@@ -45,40 +45,38 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
     return (bits * 2 - 1).astype(np.int8)
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows x distinct trigrams) counts as float32, the trigrams as indices into the third result, the letters' code points."""
-    parts, rows = [], []
+def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with one 0 for each run of anything but letters, the text of each)."""
+    parts, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for k, text in enumerate(texts):
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         codes = np.where(is_letter()[codes], codes, 0)
         keep = codes != 0
         if keep.any():
             keep[1:] |= keep[:-1]  # a space stays only after a letter
-            codes = np.concatenate([[0], codes[keep], [0] if keep[-1] and codes[-1] else []]).astype(np.int64)
-            parts.append(codes)
-            rows.append(np.full(len(codes), k, np.int64))
-    if not parts:
-        return np.zeros((len(texts), 0), np.float32), np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-    codes, row = np.concatenate(parts), np.concatenate(rows)
+            parts += [np.zeros(1, np.int32), codes[keep]] + ([np.zeros(1, np.int32)] if keep[-1] and codes[-1] else [])
+            rows.append(np.full(sum(map(len, parts)) - sum(map(len, rows)), k, np.int32))
+    return np.concatenate(parts), np.concatenate(rows)
+
+
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, trigram, count) of each distinct pair, by trigram then text; trigrams as three indices into the last result, the letters' code points."""
+    codes, row = letters_of(texts)
     seen = np.zeros(0x110000, bool)
     seen[codes] = True
     alphabet = np.flatnonzero(seen)
-    place = np.zeros(0x110000, np.int64)
+    place = np.zeros(0x110000, np.int32)
     place[alphabet] = np.arange(len(alphabet))
-    a, size = place[codes], len(alphabet)
-    gram, inside = (a[:-2] * size + a[1:-1]) * size + a[2:], row[:-2] == row[2:]
-    gram, row = gram[inside], row[:-2][inside]
-    if size**3 <= 4_000_000:
-        present = np.zeros(size**3, bool)
-        present[gram] = True
-        kinds = np.flatnonzero(present)
-        number = np.zeros(size**3, np.int64)
-        number[kinds] = np.arange(len(kinds))
-        column = number[gram]
-    else:
-        kinds, column = np.unique(gram, return_inverse=True)
-    counts = np.bincount(row * len(kinds) + column, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds))
-    return counts.astype(np.float32), np.stack([kinds // size**2, kinds // size % size, kinds % size], 1), alphabet
+    a, size = place[codes].astype(np.int64), max(1, len(alphabet))
+    inside = row[:-2] == row[2:]
+    pair = (((a[:-2] * size + a[1:-1]) * size + a[2:]) * len(texts) + row[:-2])[inside]
+    pair.sort()
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    count = np.diff(first, append=len(pair))
+    gram, text = np.divmod(pair[first], max(1, len(texts)))
+    new = np.diff(gram, prepend=-1) != 0
+    kinds = gram[new]
+    return text, np.cumsum(new) - 1, count, np.stack([kinds // size**2, kinds // size % size, kinds % size], 1), alphabet
 
 
 class Letters:
@@ -87,26 +85,29 @@ class Letters:
     def __init__(self, dimensions: int):
         self.dimensions, self.known = dimensions, {}
 
-    def bundle(self, weights: np.ndarray, grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-        """Sums of the trigrams' vectors by each row of ``weights``; ``GRAMS`` trigrams are bound at a time."""
+    def bundle(self, rows: int, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+        """[row, dimension]: sums of the trigrams' vectors by weight. (row, gram, weight) are by gram; ``GRAMS`` trigrams are bound at a time."""
         for c in alphabet.tolist():
             if c not in self.known:
                 self.known[c] = letter_vector(c, self.dimensions)
         third = np.stack([self.known[c] for c in alphabet.tolist()]) if len(alphabet) else np.zeros((0, self.dimensions), np.int8)
         second, first = np.roll(third, 1, axis=1), np.roll(third, 2, axis=1)
-        out = np.zeros((len(weights), self.dimensions), np.float32)
+        out = np.zeros((rows, self.dimensions), np.float32)
         for at in range(0, len(grams), GRAMS):
             one, two, three = grams[at : at + GRAMS].T
-            out += weights[:, at : at + GRAMS] @ (first[one] * second[two] * third[three]).astype(np.float32)
+            s, e = np.searchsorted(gram, [at, at + len(one)])
+            bound = (first[one] * second[two] * third[three]).astype(np.float32)
+            if e - s > 2 * len(one):
+                weights = np.zeros((rows, len(one)), np.float32)
+                weights[row[s:e], gram[s:e] - at] = weight[s:e]
+                out += weights @ bound
+            elif e > s:  # most trigrams are in one text only
+                order = np.argsort(row[s:e], kind="stable") + s
+                starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+                out[row[order[starts]]] += np.add.reduceat(bound[gram[order] - at] * weight[order, None].astype(np.float32), starts, axis=0)
         return out
 
 
-def blocks(total: int, width: int) -> Iterator[slice]:
-    """Slices of rows whose dense counts stay under about 64 MB."""
-    step = max(1, 16_000_000 // max(1, width))
-    return (slice(i, i + step) for i in range(0, total, step))
-
-
 def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """One unit vector for each language of ``docs`` (text, lang)."""
 
@@ -114,40 +115,38 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nd
         letters, sums = Letters(dimensions), {}
         for batch in batches:
             for part in slices(batch, ROWS, CHARS):
-                counts, grams, alphabet = trigrams(part.column(0).to_pylist())
-                length = np.sqrt((counts * counts).sum(1))
+                text, gram, count, grams, alphabet = trigrams(part.column(0).to_pylist())
+                if not len(gram):
+                    continue
+                length = np.sqrt(np.bincount(text, count.astype(np.float64) ** 2, part.num_rows))
                 langs = np.array(part.column(1).to_pylist(), object)
-                kinds = sorted(set(langs[length > 0].tolist()))
-                each = [(langs == k) & (length > 0) for k in kinds]
-                if kinds:
-                    weights = np.stack([(counts[own] / length[own, None]).sum(0, dtype=np.float32) for own in each])
-                    for lang, v in zip(kinds, letters.bundle(weights, grams, alphabet), strict=True):
-                        sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+                kinds = {k: i for i, k in enumerate(sorted(set(langs[length > 0].tolist())))}
+                number = np.array([kinds.get(k, -1) for k in langs.tolist()])[text]
+                pair, which = np.unique(gram * len(kinds) + number, return_inverse=True)
+                weight = np.bincount(which, count / length[text])
+                for lang, v in zip(kinds, letters.bundle(len(kinds), pair % len(kinds), pair // len(kinds), weight, grams, alphabet), strict=True):
+                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dimensions, "dim": np.arange(dimensions, dtype=np.int32), "v": v})
 
     each = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, dim int, v double")
     summed = each.groupBy("lang", "dim").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("v"))
-    found = summed.select("lang", F.transform("v", lambda x: x["v"]).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = summed.select("lang", F.transform("v", lambda x: x["v"]).alias("v")).collect()  # one row for each language
     vectors = {r["lang"]: np.array(r["v"]) for r in found}
     return {k: (v / n).astype(np.float32) for k, v in sorted(vectors.items()) if (n := np.linalg.norm(v)) > 0}
 
 
 def identify(texts: list[str | None], names: list[str], matrix: np.ndarray, letters: Letters) -> tuple[list[str], list[float]]:
     """Predicted language and cosine of each text; ``matrix``: a row for each name."""
-    counts, grams, alphabet = trigrams(texts)
+    text, gram, count, grams, alphabet = trigrams(texts)
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not len(grams) or not names:
         return pred, score
-    for own in blocks(len(texts), len(grams)):
-        bundle = letters.bundle(counts[own], grams, alphabet)
-        cosine = (bundle @ matrix.T) / np.maximum(np.sqrt((bundle * bundle).sum(1, keepdims=True)), 1e-9)
-        best = cosine.argmax(1)
-        some = counts[own].any(1)
-        for i in np.flatnonzero(some):
-            pred[own.start + i], score[own.start + i] = names[best[i]], float(min(1.0, max(0.0, cosine[i, best[i]])))
+    bundle = letters.bundle(len(texts), text, gram, count, grams, alphabet)
+    cosine = (bundle @ matrix.T) / np.maximum(np.sqrt((bundle * bundle).sum(1, keepdims=True)), 1e-9)
+    best = cosine.argmax(1)
+    for i in np.unique(text).tolist():
+        pred[i], score[i] = names[best[i]], float(min(1.0, max(0.0, cosine[i, best[i]])))
     return pred, score
 
 

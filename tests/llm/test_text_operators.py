@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -84,6 +85,41 @@ def test_language_id(spark, odd, none):
     assert kept.columns == odd.columns and 99 not in ids and 0 not in ids and 8 in ids
 
 
+def brute_profile(text, dimensions):
+    """A text's bundle by the definition."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    line, out = f" {' '.join(letters.split())} ", np.zeros(dimensions)
+    vector = lambda c: langid.letter_vector(0 if c == " " else ord(c), dimensions).astype(int)
+    for a, b, c in zip(line, line[1:], line[2:]):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_profiles_against_brute_force():
+    rnd, d = random.Random(9), 64
+    texts = ["Déjà vu, 12 fois!", None, "", "a", "123", " Zwei  Wörter ", "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(300)), "abc " * 50]
+    matrix = np.random.default_rng(1).normal(size=(3, d)).astype(np.float32)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    pred, score = langid.identify(texts, ["x", "y", "z"], matrix, langid.Letters(d))
+    for text, p, s in zip(texts, pred, score):
+        if not any(c.isalpha() for c in text or ""):
+            assert (p, s) == ("und", 0.0)
+            continue
+        v = brute_profile(text, d)
+        cosine = matrix @ v / np.linalg.norm(v)
+        assert p == "xyz"[cosine.argmax()] and abs(s - max(0.0, cosine.max())) < 1e-4
+
+
+def test_many_letters_in_bounded_memory():
+    import resource
+
+    rnd = random.Random(10)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(20_000)) for _ in range(1900)) for _ in range(256)]
+    matrix, before = np.zeros((4, langid.DIMENSIONS), np.float32), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    langid.identify(texts, list("abcd"), matrix, langid.Letters(langid.DIMENSIONS))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 * 1024
+
+
 def brute_retrieval(index, words):
     """Scores of all items by the definition."""
     out = {}
