@@ -10,13 +10,16 @@ blocks of ``BLOCK`` items, a term in over a quarter of the blocks counts with it
 (passage, block) below the threshold is skipped. What is left goes through WAND proper: cursors sorted by item, a
 pivot by term maxima, a second test by block maxima with a jump past the block, and a score if both pass.
 
-Every item above the threshold is verified: at least ``OVERLAP`` of its word shingles of five, taken within its
-question (all lines but the last) and its answer (the last line), must occur in the passage.
+Every item above the threshold is verified: at least ``OVERLAP`` of the word shingles of five of its question (all
+lines but the last), and as much of those of its answer (the last line, if there are several), must occur in the
+passage. A question or answer of fewer than five words must occur whole, as a run of words.
 
-Defined results: items of fewer than five words, null items and null or empty texts match nothing; equal item
-texts share the verdict, each under its item_id; repeated rows stay; other columns are ignored. The index is
-built on the driver from ``SHARD_CHARS`` characters of items at a time; more items make more shards, each run
-over all documents.
+Document frequencies, the number of items and their mean length are those of all items. An index is built on the
+driver from about ``SHARD_CHARS`` characters of items; more items make more shards. Each is run over all documents
+and its result written before the next is built, so the driver holds one shard at a time.
+
+Defined results: items without a word, null items and null or empty texts match nothing; equal item texts share the
+verdict, each under its item_id; repeated rows stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +27,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import read_table, slices
+from quern.llm.arrow import cut, read_table, slices
 from quern.llm.kept import Kept
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
-BLOCK, CHUNK, SHARD_CHARS, CELLS = 8, 64, 16_000_000, 4_000_000
+BLOCK, CHUNK, SHARD_CHARS, CELLS = 8, 64, 2_000_000, 4_000_000
 
 words_of = re.compile(r"\w+").findall
 
@@ -46,10 +49,27 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+class Statistics:
+    """Number and mean length of all distinct items, and in how many of them a word is."""
+
+    def __init__(self, n: int, mean: float, df: dict[str, int]):
+        self.n, self.mean, self.df = n, max(mean, 1e-9), df
+
+    @staticmethod
+    def of(texts: Iterable[str]) -> Statistics:
+        bags = [words_of(t.lower()) for t in texts]
+        return Statistics(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(w for bag in bags for w in set(bag)))
+
+    def weight(self, word: str, count: int, length: int) -> float:
+        """BM25 weight of a word in an item."""
+        df = self.df[word]
+        return math.log(1 + (self.n - df + 0.5) / (df + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length / self.mean))
+
+
 class Index:
     """An inverted index of items of one length class."""
 
-    def __init__(self, texts: dict[str, list[int]], chunk: int):
+    def __init__(self, texts: dict[str, list[int]], chunk: int, statistics: Statistics):
         """texts: distinct item texts and the ids that have them."""
         self.chunk = chunk
         self.items = list(texts.items())
@@ -57,13 +77,11 @@ class Index:
         self.question = [shingles(words_of(p[0])) for p in lines]
         self.answer = [shingles(words_of(p[1])) if len(p) > 1 else set() for p in lines]
         bags = [Counter(words_of(t.lower())) for t, _ in self.items]
-        n, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
-        df = Counter(w for bag in bags for w in bag)
-        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
-        self.terms = {w: i + 1 for i, w in enumerate(sorted(df))}
+        n = len(bags)
+        self.terms = {w: i + 1 for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
         posts: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
         for k, bag in enumerate(bags):
-            weight = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * bag.total() / mean)) for w, c in bag.items()}
+            weight = {w: statistics.weight(w, c, bag.total()) for w, c in bag.items()}
             whole = sum(weight.values())
             for w, x in weight.items():
                 posts[self.terms[w]].append((k, x / whole))
@@ -187,20 +205,19 @@ class Index:
             short = {s for s in q | a if len(s) < SHINGLE}
             here = own | {s for n in {len(s) for s in short} for s in shingles(words, n)} if short else own
             shared = len(q & here), len(a & here)
-            overlap = sum(shared) / (len(q) + len(a))
-            if overlap >= OVERLAP:
-                out.append((item, score, overlap, shared[0] / len(q) if q else 1.0, shared[1] / len(a) if a else 1.0))
+            if shared[0] >= OVERLAP * len(q) and shared[1] >= OVERLAP * len(a):
+                out.append((item, score, sum(shared) / (len(q) + len(a)), shared[0] / len(q) if q else 1.0, shared[1] / len(a) if a else 1.0))
         return out
 
 
-def build(items: list[tuple[int, str]]) -> list[Index]:
-    """An index for each length class of (item_id, text)."""
+def build(items: list[tuple[int, str]], statistics: Statistics | None = None) -> list[Index]:
+    """An index for each length class of (item_id, text). statistics: of all items, if these are but some."""
     classes: dict[int, dict[str, list[int]]] = defaultdict(dict)
     for item_id, text in items:
-        n = len(words_of(text.lower()))
-        if n >= SHINGLE:
+        if n := len(words_of(text.lower())):
             classes[max(CHUNK, 1 << (n - 1).bit_length())].setdefault(text, []).append(item_id)
-    return [Index(texts, chunk) for chunk, texts in sorted(classes.items())]
+    statistics = statistics or Statistics.of({t for texts in classes.values() for t in texts})
+    return [Index(texts, chunk, statistics) for chunk, texts in sorted(classes.items())]
 
 
 class Scanner:
@@ -246,21 +263,48 @@ class Scanner:
         return out
 
 
-def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """The items' indexes, shard after shard; a shard's size on the driver is bounded."""
+def frequencies(items: DataFrame) -> DataFrame:
+    """(word, n, total) over distinct item texts: in how many a word is; the null word: how many texts with a word, and of how many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 256, 1_500_000):
+                bags = [b for t in part.column(0).to_pylist() if (b := words_of(t.lower()))]
+                words = [w for b in bags for w in set(b)]
+                yield pa.RecordBatch.from_pydict({"word": pa.array([None] * len(bags) + words, pa.string()), "n": pa.array([1] * (len(bags) + len(words)), pa.int64()), "total": pa.array([len(b) for b in bags] + [0] * len(words), pa.int64())})
+
+    return items.select("text").distinct().mapInArrow(run, "word string, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[list[Index]]]:
+    """The number of shards, and the indexes of one after the other."""
     items = benchmark.where("text IS NOT NULL").selectExpr("CAST(item_id AS BIGINT) AS item_id", "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
-    for k in range(shards):
-        yield build(sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k).collect()), key=lambda x: (x[1], x[0] is None, x[0])))
+    in_order = lambda df: sorted(((r["item_id"], r["text"]) for r in df.collect()), key=lambda x: (x[1], x[0] is None, x[0]))
+
+    def each() -> Iterator[list[Index]]:
+        if shards == 1:
+            yield build(in_order(items))
+            return
+        counts = cut(frequencies(items))
+        n, total = counts.where("word IS NULL").select("n", "total").first()
+        for k in range(shards):
+            own = in_order(items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k))
+            words = items.sparkSession.createDataFrame([(w,) for w in sorted({w for _, t in own for w in words_of(t.lower())})], "own string")
+            df = {r["word"]: r["n"] for r in counts.join(words, F.col("word") == F.col("own")).select("word", "n").collect()}
+            yield build(own, Statistics(n, total / max(1, n), df))
+
+    return shards, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): every item that a document holds."""
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     whole = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    shards, each = indexes(benchmark)
     found = None
-    for shard in indexes(benchmark):
+    for shard in each:
 
         def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             scanners = [Scanner(index) for index in shard]
@@ -272,13 +316,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"), zip(*rows, strict=True), strict=True)))
 
         one = whole.mapInArrow(run, schema)
+        one = cut(one) if shards > 1 else one
         found = one if found is None else found.unionByName(one)
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    for shard in indexes(benchmark):
+    shards, each = indexes(benchmark)
+    for shard in each:
         place = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard, place: int = place) -> Iterator[pa.RecordBatch]:
@@ -290,6 +336,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield part.filter(pa.array([not any(h[i] for h in hits) for i in range(len(texts))]))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = cut(docs) if shards > 1 else docs
     return docs
 
 

@@ -120,13 +120,26 @@ def test_many_letters_in_bounded_memory():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 * 1024
 
 
-def brute_retrieval(index, words):
-    """Scores of all items by the definition."""
-    out = {}
-    for term in {index.terms[w] for w in words if w in index.terms}:
-        for k, x in zip(*index.posts[term]):
-            out[int(k)] = out.get(int(k), 0.0) + float(x)
-    return {k: s for k, s in out.items() if s >= decontaminate.THRESHOLD - 1e-12}
+def brute_scores(items, words):
+    """BM25 of every item for the distinct words of a passage, over the item's score for itself, by the formula."""
+    bags, out = {t: Counter(re.findall(r"\w+", t.lower())) for _, t in items}, {}
+    bags = {t: b for t, b in bags.items() if b}
+    n, mean = len(bags), sum(b.total() for b in bags.values()) / len(bags)
+    for text, bag in bags.items():
+        weight = {}
+        for w, c in bag.items():
+            df = sum(w in b for b in bags.values())
+            weight[w] = math.log(1 + (n - df + 0.5) / (df + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * bag.total() / mean))
+        out[text] = sum(x for w, x in weight.items() if w in words) / sum(weight.values())
+    return {t: s for t, s in out.items() if s >= decontaminate.THRESHOLD - 1e-12}
+
+
+def holds(text, passage):
+    """Whether a passage has 0.8 or more of the five-word runs of the question and of the answer."""
+    here = f" {' '.join(passage)} "
+    parts = text.lower().rstrip().rsplit("\n", 1)
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for p in parts if (w := re.findall(r"\w+", p))]
+    return all(sum(f" {' '.join(r)} " in here for r in own) >= 0.8 * len(own) for own in runs)
 
 
 @pytest.mark.parametrize("block", [1, 2, 8])
@@ -134,45 +147,59 @@ def test_wand_retrieves_all(block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     rnd = random.Random(block)
     vocabulary = [f"w{int(rnd.paretovariate(0.7)) % 400}" for _ in range(600)]
-    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(4, 90)))) for i in range(60)]
-    items.append((60, items[0][1]))
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 90)))) for i in range(40)]
+    items += [(100 + i, f"{' '.join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 30)))}\n{' '.join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 12)))}") for i in range(20)]
+    items += [(60, items[0][1]), (61, ""), (62, "?!")]
     texts = []
     for _ in range(40):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 700))]
         if rnd.random() < 0.7:
-            own = rnd.choice(items)[1].split()
-            own[rnd.randrange(len(own))] = "changed"
+            own = rnd.choice(items)[1].split() or ["x"]
+            own[rnd.randrange(len(own))] = "changed" if rnd.random() < 0.5 else own[0]
             at = rnd.randrange(len(words) + 1)
             words[at:at] = own
         texts.append(" ".join(words))
+    hits_in_all = 0
     for index in decontaminate.build(items):
         found = decontaminate.Scanner(index).scan(texts)
+        own_texts = {t for t, _ in index.items}
         for text, hits in zip(texts, found, strict=True):
-            words, best = text.split(), {}
+            words, best = text.split(), set()
             for c in range(len(words) // index.chunk + 1):
                 passage = words[c * index.chunk : (c + 2) * index.chunk]
-                scores = brute_retrieval(index, passage)
-                assert {k: round(s, 9) for k, s in index.wand(sorted({index.terms[w] for w in passage if w in index.terms}))} == {k: round(s, 9) for k, s in scores.items()}
-                own = decontaminate.shingles(passage)
-                for k in scores:
-                    both = [index.question[k], index.answer[k]]
-                    short = {s for x in both for s in x if len(s) < decontaminate.SHINGLE}
-                    here = own | {s for s in short if any(tuple(passage[i : i + len(s)]) == s for i in range(len(passage)))}
-                    if sum(len(x & here) for x in both) >= decontaminate.OVERLAP * sum(map(len, both)):
-                        best[k] = True
-            assert {h[0] for h in hits} == set(best)
-
-
-def test_decontamination(spark, odd, none):
-    items = spark.createDataFrame([(1, "Which of the two rivers is the longer one?\nThe second river is."), (2, None), (3, "too short"), (4, "Which of the two rivers is the longer one?\nThe second river is.")], "item_id long, text string")
+                scores = {t: s for t, s in brute_scores(items, set(passage)).items() if t in own_texts}
+                got = {index.items[k][0]: s for k, s in index.wand(sorted({index.terms[w] for w in passage if w in index.terms}))}
+                assert {t: round(s, 9) for t, s in got.items()} == {t: round(s, 9) for t, s in scores.items()}
+                best |= {t for t in scores if holds(t, passage)}
+            assert {index.items[h[0]][0] for h in hits} == best
+            hits_in_all += len(hits)
+    assert hits_in_all > 10
+
+
+@pytest.mark.parametrize("chars", [2_000_000, 100])
+def test_decontamination(spark, odd, none, chars, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+    river = "Which of the two rivers is the longer one?\nThe second river is."
+    items = spark.createDataFrame([(1, river), (2, None), (3, "too short"), (4, river), (5, "Capital of France?\nParis")], "item_id long, text string")
     filler = "nothing of that kind stands in this text at all " * 30
-    docs = spark.createDataFrame([(1, filler + "which of the two rivers is the longer one the SECOND river is" + filler), (2, filler), (3, "Which of the two rivers"), (4, None)], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()) == [(1, 1), (1, 4)]
-    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 3, 4]
+    docs = [filler + "which of the two rivers is the longer one the SECOND river is " + filler, filler, "Which of the two rivers", None, "too short", filler + "capital of France: Paris " + filler, "the capital of France is large", "which of the two rivers is the longer one? The first"]
+    df = spark.createDataFrame(list(enumerate(docs, 1)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, items).collect()) == [(1, 1), (1, 4), (5, 3), (6, 5)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, items).collect()) == [2, 3, 4, 7, 8]
     assert decontaminate.clean(odd, items).count() == odd.count() and decontaminate.leaks(none, items).count() == 0
     assert decontaminate.clean(odd, items.limit(0)).columns == odd.columns
 
 
+def test_shards_score_alike(spark, monkeypatch):
+    """Scores don't depend on how items are dealt to shards."""
+    benchmark, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("benchmark", "documents"))
+    got = []
+    for chars in (2_000_000, 3000):
+        monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+        got.append(sorted(tuple(round(x, 9) for x in r) for r in decontaminate.leaks(docs, benchmark).collect()))
+    assert got[0] == got[1] and len(got[0]) > 5
+
+
 def test_pipeline(spark):
     """Each stage's decisions, against plain versions of them."""
     from tokenizers import Tokenizer
@@ -186,11 +213,7 @@ def test_pipeline(spark):
     left = {i: t for i, t in left.items() if roots[i][1] == i}
     words = re.compile(r"\w+").findall
     for text in pd.read_parquet(f"{SF}/benchmark.parquet").text:
-        if len(words(text.lower())) >= 5:
-            parts = text.lower().rstrip().rsplit("\n", 1)
-            want = Counter(s for p in parts for s in decontaminate.shingles(words(p)))
-            for i in [i for i, t in left.items() if sum(" ".join(s) in " ".join(words(t.lower())) for s in want) >= 0.8 * len(want)]:
-                del left[i]
+        left = {i: t for i, t in left.items() if not holds(text, words(t.lower()))}
     lib = Tokenizer.from_file(bpe.default_path())
     want = {i: lib.encode(secrets.masked(t, secrets.all_spans(t)), add_special_tokens=False).ids for i, t in left.items()}
     got = {r["doc_id"]: list(struct.unpack(f"<{r['n_tokens']}I", r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()}
