@@ -5,15 +5,16 @@ a vector x gets one more coordinate sqrt(M^2 - |x|^2) and a query a zero there;
 |q|^2 + M^2 - 2 q.x, so the nearest vector is the one of the highest score.
 
 Rows are dealt to the nearest of at most ``PIVOTS`` routing vectors (a bounded sample, by hash of the id), and the
-rows of a routing vector are dealt to trees of about ``TREE`` rows. A tree is one row of the index: pages of
-``PAGE`` entries under two levels of nodes, each node with its routing vector, its covering radius and its distance
-to its parent, each entry with its distance to its page's vector. A query first visits one tree of its nearest
+rows of a routing vector are dealt to trees of about ``TREE`` rows. A tree is one row of the index, a table that is
+written once: pages of ``PAGE`` entries under two levels of nodes, each node with its routing vector, its covering
+radius and its distance to its parent, each entry with its distance to its page's vector. A query first visits one tree of its nearest
 routing vector. What it finds there bounds the rest: only routing vectors whose covering ball can hold a better
 vector get it, and in a tree it takes the node of the least lower bound next until that is beyond its bound.
 Lower bounds come from |d(q, parent) - d(node, parent)| - radius before a distance is computed, and from
-|d(q, page) - d(entry, page)| for entries. Bounds only prune with a margin for rounding; scores are exact integers.
+|d(q, page) - d(entry, page)| for entries. Bounds only prune with a margin for rounding; scores are exact integers, by
+doubles where no norm's square reaches 2^53, and by longs beyond.
 
-Queries meet trees in blocks: at most ``QUERIES`` queries and one tree in a task at once. The work is queries times
+Queries meet trees in blocks: about ``QUERIES`` of the queries that a tree gets, and the tree, in a task at once. The work is queries times
 trees that no bound excludes, which for vectors without structure is all of them; the result is k rows a query.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, as query or as
@@ -25,10 +26,12 @@ table gives no rows.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +100,27 @@ class Tree:
                 member = own[of_inner == j]
                 to_page = distances(x[member], route[j : j + 1])[:, 0]
                 children.append(len(self.pages))
-                self.pages.append((row[member], vec_id[member], v[member].astype(np.float64), to_page, float(to_page.max(initial=0))))
+                self.pages.append((row[member], vec_id[member], v[member], to_page, float(to_page.max(initial=0))))
             radii = np.array([self.pages[c][4] for c in children])
             self.nodes.append((route, to_top[inner], radii, children, float(to_top.max(initial=0))))
         self.radii = np.array([n[4] for n in self.nodes])
 
+    def pack(self) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self.__dict__, protocol=5))
+
+    @staticmethod
+    def unpack(blob: bytes, exact: bool) -> Tree:
+        """exact: doubles hold all scores."""
+        out = Tree.__new__(Tree)
+        out.__dict__ = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        kind = np.float64 if exact else np.int64
+        out.pages = [(r, i, v.astype(kind), t, far) for r, i, v, t, far in out.pages]
+        return out
+
     def search(self, query: np.ndarray, own_row: int, best: list[tuple[int, int, int]], k: int, most: float) -> None:
-        """Adds to ``best`` (score, -vec_id, row), a heap of the k best so far."""
-        q = np.append(query, 0.0)
-        whole = float(query @ query) + most
+        """Adds to ``best`` (score, -vec_id, row), a heap of the k best so far. query: of the pages' type."""
+        q = np.append(query.astype(np.float64), 0.0)
+        whole = float(q @ q) + most
         slack = 1e-6 * (1.0 + whole) ** 0.5
 
         def reach() -> float:
@@ -148,23 +163,37 @@ class Tree:
 FOUND = "q_row long, query_id long, v array<long>, home int, rows array<long>, ids array<long>, scores array<long>"
 
 
+def index(placed: DataFrame, width: int, most: float) -> DataFrame:
+    """(tree, blob) of rows (tree, row, vec_id, x)."""
+
+    def build(table: pa.Table) -> pa.Table:
+        v = matrix(table.column("x").combine_chunks(), width)
+        for kind in (np.int16, np.int32):
+            if not v.size or (np.iinfo(kind).min <= v.min() and v.max() <= np.iinfo(kind).max):
+                v = v.astype(kind)
+                break
+        made = Tree(table.column("row").to_numpy(), table.column("vec_id").to_numpy(), v, most)
+        return pa.table({"tree": table.column("tree").slice(0, 1), "blob": pa.array([made.pack()], pa.binary())})
+
+    return placed.groupBy("tree").applyInArrow(build, "tree int, blob binary")
+
+
 def visits(trees: DataFrame, queries: DataFrame, width: int, most: float, k: int) -> DataFrame:
     """The k best of each query in the tree that it is sent to. queries: tree, part, q_row, query_id, v, home, scores."""
+    exact = most < 1 << 53
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in ("rows", "ids", "scores")}
-        made, qs = None, right.column("v").combine_chunks()
-        q = matrix(qs, width) if right.num_rows else np.zeros((0, width))
-        if left.num_rows and right.num_rows:
-            v = matrix(left.column("x").combine_chunks(), width)
-            made = Tree(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), v, most)
+        q = matrix(right.column("v").combine_chunks(), width) if right.num_rows else np.zeros((0, width))
+        q = q.astype(np.float64) if exact else q
+        made = Tree.unpack(left.column("blob")[0].as_py(), exact) if left.num_rows and right.num_rows else None
         floor = right.column("scores").to_pylist()
         for i, own in enumerate(right.column("q_row").to_pylist()):
             # what the query has found elsewhere bounds this visit; those places hold no row of this tree
             best = [(s, -(1 << 62), -1) for s in floor[i]] if len(floor[i]) >= k else []
             heapq.heapify(best)
             if made:
-                made.search(q[i].astype(np.float64), own, best, k, most)
+                made.search(q[i], own, best, k, most)
             kept = sorted((b for b in best if b[2] >= 0), reverse=True)
             out["rows"].append([b[2] for b in kept])
             out["ids"].append([-b[1] for b in kept])
@@ -202,30 +231,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     start = F.create_map([F.lit(x) for p in first for x in (p, first[p])]) if first else F.create_map().cast("map<int,int>")
     several = F.create_map([F.lit(x) for p in balls for x in (p, -(-balls[p][0] // TREE))]) if balls else F.create_map().cast("map<int,int>")
     place = start[F.col("pivot")] + F.pmod(F.xxhash64("row"), several[F.col("pivot")]).cast("int")
-    trees = near.select(place.alias("tree"), F.col("row").alias("row"), F.col("vec_id").alias("vec_id"), F.col("v").alias("x"))
+    trees = cut(index(near.select(place.alias("tree"), F.col("row").alias("row"), F.col("vec_id").alias("vec_id"), F.col("v").alias("x")), width, most))
     asked = near.join(queries.select(F.col("row").alias("asked")), F.col("row") == F.col("asked"), "left_semi")
-    part = F.pmod(F.xxhash64("q_row", F.lit(7)), F.lit(max(1, -(-int(n) // (EVERY * QUERIES))))).cast("int")
+    part = lambda most_parts: F.pmod(F.xxhash64("q_row", F.lit(7)), most_parts).cast("int")
+    at_home = asked.groupBy(place.alias("home_tree")).agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
     none = F.array().cast("array<long>")
-    homes = asked.select(place.alias("tree"), F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("v"), place.alias("home"), none.alias("scores")).withColumn("part", part)
+    homes = asked.select(place.alias("tree"), F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("v"), place.alias("home"), none.alias("scores"))
+    homes = homes.join(at_home, F.col("tree") == F.col("home_tree")).withColumn("part", part(F.col("parts"))).drop("home_tree", "parts")
     begun = cut(visits(trees, homes, width, most, k))
     first_tree = np.array([first.get(p, -1) for p in range(len(pivots))])
     n_trees = np.array([-(-balls[p][0] // TREE) if p in balls else 0 for p in range(len(pivots))])
 
+    def bounded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(query, routing vector) whose covering ball can hold a better vector."""
+        v = matrix(batch.column(2), width).astype(np.float64)
+        scores = batch.column(6).to_pylist()
+        whole = (v * v).sum(1) + most
+        worst = np.array([s[-1] if len(s) >= k else -np.inf for s in scores])
+        far = np.sqrt(np.maximum(0.0, whole - 2 * worst)) + 1e-6 * np.sqrt(1.0 + whole)
+        bound = distances(np.hstack([v, np.zeros((len(v), 1))]), route) - radius[None]
+        return np.nonzero(bound <= far[:, None])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            many += np.bincount(bounded(batch)[1], minlength=len(pivots))
+        yield pa.RecordBatch.from_pydict({"pivot": pa.array(np.arange(len(pivots)), pa.int32()), "n": pa.array(many)})
+
+    asked_of = {r["pivot"]: r["n"] for r in begun.mapInArrow(count, "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect()}
+    parts_of = np.array([max(1, -(-asked_of.get(p, 0) // QUERIES)) for p in range(len(pivots))], np.int64)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(2), width).astype(np.float64)
-            homes, scores = batch.column(3).to_numpy(zero_copy_only=False), batch.column(6).to_pylist()
-            whole = (v * v).sum(1) + most
-            worst = np.array([s[-1] if len(s) >= k else -np.inf for s in scores])
-            far = np.sqrt(np.maximum(0.0, whole - 2 * worst)) + 1e-6 * np.sqrt(1.0 + whole)
-            bound = distances(np.hstack([v, np.zeros((len(v), 1))]), route) - radius[None]
-            q, p = np.nonzero(bound <= far[:, None])
+            homes, (q, p) = batch.column(3).to_numpy(zero_copy_only=False), bounded(batch)
+            parts = np.repeat(parts_of[p], n_trees[p])
             q, tree = np.repeat(q, n_trees[p]), np.repeat(first_tree[p] - np.cumsum(n_trees[p]) + n_trees[p], n_trees[p]) + np.arange(n_trees[p].sum())
             other = tree != homes[q]
-            q, tree = pa.array(q[other]), tree[other]
-            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), *(batch.column(c).take(q) for c in (0, 1, 2, 3, 6))], names=["tree", "q_row", "query_id", "v", "home", "scores"])
+            q, tree, parts = pa.array(q[other]), tree[other], parts[other]
+            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), *(batch.column(c).take(q) for c in (0, 1, 2, 3, 6)), pa.array(parts)], names=["tree", "q_row", "query_id", "v", "home", "scores", "parts"])
 
-    rest = begun.mapInArrow(spread, "tree int, q_row long, query_id long, v array<long>, home int, scores array<long>").withColumn("part", part)
+    rest = begun.mapInArrow(spread, "tree int, q_row long, query_id long, v array<long>, home int, scores array<long>, parts long").withColumn("part", part(F.col("parts"))).drop("parts")
     more = visits(trees, rest, width, most, k)
     every = begun.select("q_row", "query_id", "ids", "scores").unionByName(more.select("q_row", "query_id", "ids", "scores").where(F.size("ids") > 0))
     hits = every.select("q_row", "query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("q_row", "query_id", F.struct((-F.col("x.scores")).alias("s"), F.col("x.ids").alias("vec_id")).alias("x"))

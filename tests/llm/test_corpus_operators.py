@@ -116,12 +116,22 @@ def test_top_k(spark, tree, monkeypatch):
     assert mtree.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores that doubles don't hold."""
+    rnd = random.Random(6)
+    rows = [(i, [float((1 << 22) + rnd.randrange(3)), float(rnd.randrange(5))]) for i in range(120)] + [(500, [float(-(1 << 22)), 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = mtree.cut(mtree.whole_vectors(df))
+    got = sorted(tuple(r) for r in mtree.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect())
+    assert got == brute_top(rows) and max(r[3] for r in got) > 1 << 60
+
+
 def test_tree_skips_distances():
     """Far clusters are never computed."""
     rnd = np.random.Generator(np.random.PCG64(5))
     v = np.concatenate([rnd.normal(size=(500, 4)) * 5 + c for c in ([900, 0, 0, 0], [0, 900, 0, 0], [-900, 0, 0, 0])]).astype(np.int64)
     most = float((v * v).sum(1).max())
-    t, best, seen = mtree.Tree(np.arange(1500), np.arange(1500), v, most), [], []
+    t, best, seen = mtree.Tree.unpack(mtree.Tree(np.arange(1500), np.arange(1500), v, most).pack(), True), [], []
     t.pages = [Watched(p, seen) for p in t.pages]
     t.search(v[0].astype(float), 0, best, 5, most)
     assert len(best) == 5 and len(seen) < len(t.pages) / 2
