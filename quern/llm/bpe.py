@@ -7,6 +7,10 @@ merge enters a heap as (rank, position); the least is taken, skipped if one of i
 and otherwise merged, which enters at most two new pairs. Decoding joins vocabulary strings by one space, as
 the library does for a file that names no decoder.
 
+Letters, digits, lower case and composition are those of the Unicode tables of Python and ``regex``. These agree with
+the library's own on all code points but those that Python's tables don't assign yet; a text that has one is
+normalised and split into words by the library's functions for that.
+
 Words recur, so each Python worker keeps the encodings of the words, and of the runs between white space, that it
 has met, in two generations of bounded size; a text is then its runs' byte strings joined.
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 
@@ -44,6 +49,19 @@ def byte_symbols() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def unassigned() -> str:
+    """A pattern class of the code points without a category in Python's tables."""
+    none, ranges = [unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)], []
+    start = None
+    for i in range(0x110001):
+        if i < 0x110000 and none[i]:
+            start = i if start is None else start
+        elif start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return f"[{''.join(ranges)}]"
+
+
 class WordBpe:
     """One vocabulary file, ready to encode and decode."""
 
@@ -69,6 +87,8 @@ class WordBpe:
         self.last = [self.vocab[s + self.end] for s in symbols]
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.controls = regex.compile(r"[\x1c-\x1f]").search
+        self.pattern, self.path, self.library = pattern, path, None
+        self.new_letters = re.compile(unassigned()).search
         self.of_piece, self.of_run = Kept(self.packed, PIECES_KEPT), Kept(self.joined, RUNS_KEPT)
 
     def word(self, piece: str) -> list[int]:
@@ -117,6 +137,15 @@ class WordBpe:
         made = [self.of_piece[p] for p in pieces]
         return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
+    def words_of_library(self, part: str) -> list[str]:
+        """The words of a part with code points that Python's tables lack."""
+        if self.library is None:
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            self.library = Tokenizer.from_file(self.path).normalizer.normalize_str, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True).pre_tokenize_str
+        normalize, split = self.library
+        return [w for w, _ in split(normalize(part))]
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of a whole text."""
         made: list[tuple[bytes, str]] = []
@@ -125,6 +154,9 @@ class WordBpe:
                 made.append((struct.pack("<I", self.special[part]), part))
                 continue
             if not part.isascii():
+                if self.new_letters(part):
+                    made += map(self.packed, self.words_of_library(part))
+                    continue
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             # str.split() also parts at the four separator controls, which are symbols here
             runs = self.spaces.split(part.lower()) if self.controls(part) else part.lower().split()

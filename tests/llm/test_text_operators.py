@@ -49,6 +49,18 @@ def test_bpe_is_the_library_s(spark, odd, none):
     assert out.count() == odd.count() and bpe.encode(none, bpe.default_path()).count() == 0
 
 
+def test_every_code_point_encodes_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.loaded(bpe.default_path())
+    codes = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and not 0x3FC40 <= i < 0xE0000 and not 0xE1000 <= i < 0xF0000 and i < 0xF0100]
+    texts = [f"a{chr(i)}B{chr(i)} {chr(i)}1" for i in codes]
+    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        ids, decoded = own.encode(text)
+        assert ids == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
+        assert decoded == lib.decode(want.ids, skip_special_tokens=False)
+
+
 def brute_base(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
