@@ -6,9 +6,10 @@ token, from it a class, and from the class the word: P(word | class) is (c + 1)
 word's count, N_k and V_k the tokens and distinct words of its class in training, so that all words never seen share
 one unit of each class.
 
-States are trained by Baum-Welch on every training text, in runs of ``RUN`` tokens: tasks add up expected counts of
-starts, moves and emissions of what they read, Spark sums them, and the driver, which holds states x classes numbers
-whatever the input, makes the next model. A text's score is its exact log10 likelihood by the scaled forward
+States are trained by Baum-Welch on every training text, whole: tasks add up expected counts of starts, moves and
+emissions of what they read, Spark sums them, and the driver, which holds states x classes numbers whatever the
+input, makes the next model. Texts are swept side by side, token by token; one of over ``LONG`` tokens is swept as
+runs of ``RUN`` tokens side by side, whose first and last states come from the product of the runs' operators. A text's score is its exact log10 likelihood by the scaled forward
 recursion over the whole text, plus that of its words given their classes.
 
 Word counts cover the whole vocabulary: tasks number the words of chunks of about ``CHUNK`` tokens and emit each
@@ -31,10 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.arrow import cut, held_out, read_table
+from quern.llm.arrow import cut, held_out, read_table, slices
 
 STATES, CLASSES, SUFFIX, ROUNDS = 8, 2048, 4, 6
-RUN, CHUNK, WIDE, SEED = 128, 1_000_000, 1024, 20_090
+RUN, LONG, TOKENS, HELD = 128, 2048, 500_000, 4_000_000
+CHUNK, SEED = 1_000_000, 20_090
 END, END_CLASS = b"\n", CLASSES - 1
 MODULUS, REMAINDER = 7, 2
 
@@ -83,8 +85,7 @@ def numbered(docs: DataFrame, most: int = CHUNK) -> DataFrame:
                      pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(kinds[at : at + n].astype(np.int32)), pa.array(counts[at : at + n])], names=NAMES)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch, 256, 2_000_000):
                 held = part.column(2).to_pylist()
                 ids = []
                 for text in part.column(1):
@@ -132,39 +133,114 @@ class Model:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (states x classes) over sequences of classes."""
-    seqs = sorted(seqs, key=len, reverse=True)
+def in_time(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all sequences by time, bounds of each time in it); the sequences come from the longest to the shortest."""
     size = np.array([len(s) for s in seqs])
-    longest = int(size[0])
-    x = np.zeros((longest, len(seqs)), np.int64)
-    for i, s in enumerate(seqs):
-        x[: len(s), i] = s
-    active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # sequences longer than t
+    ends = np.cumsum(size)
+    time = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
+    order = np.argsort(time, kind="stable")
+    return np.concatenate(seqs)[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(time))])
+
+
+def sweep(model: Model, seqs: list[np.ndarray], prior: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward over sequences, from the longest: (states at first tokens, moves, emissions).
+
+    Columns of each sequence: ``prior``, of its first state; ``before``, of the state before it, zeros at the begin of a
+    text; ``after``, the likelihood of what follows given its last state, up to a factor.
+    """
     emit, move = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.move.astype(np.float32)
-    s = len(model.start)
-    e = np.zeros((longest, s, len(seqs)), np.float32)
-    alpha = np.zeros_like(e)
-    scale = np.ones((longest, len(seqs)), np.float32)
-    for t in range(longest):
-        n = active[t]
-        e[t, :, :n] = emit[:, x[t, :n]]
-        a = (model.start.astype(np.float32)[:, None] if t == 0 else move.T @ alpha[t - 1, :, :n]) * e[t, :, :n]
-        scale[t, :n] = a.sum(0)
-        alpha[t, :, :n] = a / scale[t, :n]
-    beta = np.ones((s, len(seqs)), np.float32)
-    moves = np.zeros((s, s))
-    for t in range(longest - 1, 0, -1):
-        n = active[t]
-        right = e[t, :, :n] * beta[:, :n] / scale[t, :n]
-        moves += alpha[t - 1, :, :n] @ right.T
-        alpha[t, :, :n] *= beta[:, :n]
-        beta[:, :n] = move @ right
-    alpha[0] *= beta
-    live = np.arange(longest)[:, None] < size[None]
-    flat = x[live]
-    emits = np.stack([np.bincount(flat, alpha[:, k][live], len(model.emit)) for k in range(s)])
-    return alpha[0].sum(1, dtype=np.float64), moves * model.move, emits
+    x, at = in_time(seqs)
+    e, s = emit[:, x], len(move)
+    alpha, scale = np.empty_like(e), np.empty(len(x), np.float32)
+    back = np.ascontiguousarray(move.T)
+    for t in range(len(at) - 1):
+        own = slice(at[t], at[t + 1])
+        n = at[t + 1] - at[t]
+        a = (prior if t == 0 else back @ alpha[:, at[t - 1] : at[t - 1] + n]) * e[:, own]
+        scale[own] = total = a.sum(0)
+        alpha[:, own] = a / total
+    size = np.array([len(q) for q in seqs])
+    last = at[size - 1] + np.arange(len(seqs))
+    beta = after / (alpha[:, last] * after).sum(0)
+    moves, right = np.zeros((s, s)), None
+    for t in range(len(at) - 2, -1, -1):
+        own = slice(at[t], at[t + 1])
+        n = at[t + 1] - at[t]
+        if right is not None:
+            beta[:, : right.shape[1]] = move @ right
+        right = e[:, own] * beta[:, :n] / scale[own]
+        moves += (alpha[:, at[t - 1] : at[t - 1] + n] if t else before) @ right.T
+        alpha[:, own] *= beta[:, :n]
+    emits = np.stack([np.bincount(x, alpha[k], len(model.emit)) for k in range(s)])
+    return alpha[:, : at[1]], moves * model.move, emits
+
+
+def operators(model: Model, runs: list[np.ndarray], leads: np.ndarray) -> np.ndarray:
+    """[run, from, to]: what a run makes of the state before it, up to a factor; ``leads``: the begin of a text, whatever is before."""
+    emit, move = np.ascontiguousarray(model.emit.astype(np.float32)), model.move.astype(np.float32)
+    order = np.argsort([-len(r) for r in runs], kind="stable")
+    x, at = in_time([runs[i] for i in order])
+    made = np.broadcast_to(np.eye(len(move), dtype=np.float32), (len(runs), len(move), len(move))).copy()
+    first = np.where(leads[order, None, None], model.start.astype(np.float32), move)
+    for t in range(len(at) - 1):
+        n = at[t + 1] - at[t]
+        step = (first[:n] if t == 0 else made[:n] @ move) * emit[x[at[t] : at[t + 1]], None, :]
+        made[:n] = step / step.sum((1, 2), keepdims=True)
+    out = np.empty_like(made)
+    out[order] = made
+    return out
+
+
+def long_texts(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``expected``, for long texts: a run's operator carries the states over it, so that all runs are swept at once."""
+    runs = [q[i : i + RUN] for q in seqs for i in range(0, len(q), RUN)]
+    many = np.array([-(-len(q) // RUN) for q in seqs])
+    lead = np.cumsum(many) - many
+    leads, s = np.isin(np.arange(len(runs)), lead), len(model.start)
+    step = max(1, TOKENS // RUN)
+    parts = [slice(i, i + step) for i in range(0, len(runs), step)]
+    made, move = np.concatenate([operators(model, runs[p], leads[p]) for p in parts]), model.move.astype(np.float32)
+    before, after = np.zeros((len(runs), s), np.float32), np.ones((len(runs), s), np.float32)
+    left = np.full((len(seqs), s), 1 / s, np.float32)
+    for t in range(int(many.max()) - 1):  # the state before each next run
+        own = np.flatnonzero(many > t + 1)
+        here = (left[own, None, :] @ made[lead[own] + t])[:, 0]
+        left[own] = before[lead[own] + t + 1] = here / here.sum(1, keepdims=True)
+    for t in range(int(many.max()) - 1, 0, -1):  # the likelihood of what follows each run before
+        own = np.flatnonzero(many > t)
+        here = (made[lead[own] + t] @ after[lead[own] + t][:, :, None])[:, :, 0]
+        after[lead[own] + t - 1] = here / here.sum(1, keepdims=True)
+    prior = np.where(leads[:, None], model.start.astype(np.float32), before @ move)
+    total = [np.zeros(s), np.zeros((s, s)), np.zeros(model.emit.T.shape)]
+    for p in parts:
+        order = np.argsort([-len(r) for r in runs[p]], kind="stable")
+        first, moves, emits = sweep(model, [runs[p][i] for i in order], prior[p][order].T, before[p][order].T, after[p][order].T)
+        for t, more in zip(total, (first[:, leads[p][order]].sum(1, dtype=np.float64), moves, emits), strict=True):
+            t += more
+    return total[0], total[1], total[2]
+
+
+def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions (states x classes) over whole texts of classes."""
+    total = [np.zeros(len(model.start)), np.zeros_like(model.move), np.zeros(model.emit.T.shape)]
+    seqs = sorted(seqs, key=len, reverse=True)
+    start = 0
+    while start < len(seqs):
+        long, stop, tokens = len(seqs[start]) > LONG, start, 0
+        while stop < len(seqs) and (stop == start or tokens + len(seqs[stop]) <= TOKENS) and (len(seqs[stop]) > LONG) == long:
+            tokens += len(seqs[stop])
+            stop += 1
+        own = seqs[start:stop]
+        if long:
+            found = long_texts(model, own)
+        else:
+            n, s = len(own), len(model.start)
+            first, moves, emits = sweep(model, own, np.repeat(model.start.astype(np.float32)[:, None], n, 1), np.zeros((s, n), np.float32), np.ones((s, n), np.float32))
+            found = first.sum(1, dtype=np.float64), moves, emits
+        for t, more in zip(total, found, strict=True):
+            t += more
+        start = stop
+    return total[0], total[1], total[2]
 
 
 def baum_welch(numbers: DataFrame, model: Model) -> Model:
@@ -174,6 +250,7 @@ def baum_welch(numbers: DataFrame, model: Model) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
         held: list[np.ndarray] = []
+        tokens = 0
 
         def add() -> None:
             for total, more in zip((start, move, emit), expected(model, held), strict=True):
@@ -182,11 +259,11 @@ def baum_welch(numbers: DataFrame, model: Model) -> Model:
 
         for batch in batches:
             for blob in batch.column(0):
-                x = unpack(blob.as_py(), np.uint16)
-                for at in range(0, len(x), RUN):
-                    held.append(x[at : at + RUN])
-                    if len(held) >= WIDE:
-                        add()
+                held.append(unpack(blob.as_py(), np.uint16))
+                tokens += len(held[-1])
+                if tokens >= HELD:
+                    add()
+                    tokens = 0
         if held:
             add()
         i, j = np.indices((states, 1 + states + classes)).reshape(2, -1)

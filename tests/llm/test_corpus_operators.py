@@ -163,9 +163,13 @@ def test_language_model(spark, odd, none):
     assert hmm.score(none).count() == 0
 
 
+def small_model(rnd):
+    return hmm.Model(rnd.dirichlet(np.ones(3)), rnd.dirichlet(np.ones(3), 3), rnd.dirichlet(np.ones(5), 3).T)
+
+
 def test_forward_and_baum_welch():
     rnd = np.random.Generator(np.random.PCG64(8))
-    model = hmm.Model(rnd.dirichlet(np.ones(3)), rnd.dirichlet(np.ones(3), 3), rnd.dirichlet(np.ones(5), 3).T)
+    model = small_model(rnd)
     seqs = [rnd.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 6, 6, 2)]
     want, starts, moves, emits = [], np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
     for x in seqs:
@@ -186,6 +190,60 @@ def test_forward_and_baum_welch():
         assert np.allclose(got, expect, rtol=1e-4, atol=1e-5)
 
 
+def plain_counts(model, seqs):
+    """Expected counts, one text and one token after the other."""
+    starts, moves, emits = np.zeros(len(model.start)), np.zeros_like(model.move), np.zeros(model.emit.T.shape)
+    for x in seqs:
+        x = x.astype(int)
+        a, b, c = np.zeros((len(x), len(starts))), np.ones((len(x), len(starts))), np.zeros(len(x))
+        for t, k in enumerate(x):
+            v = (model.start if t == 0 else a[t - 1] @ model.move) * model.emit[k]
+            a[t], c[t] = v / v.sum(), v.sum()
+        for t in range(len(x) - 2, -1, -1):
+            b[t] = model.move @ (model.emit[x[t + 1]] * b[t + 1]) / c[t + 1]
+        starts += a[0] * b[0]
+        for t, k in enumerate(x):
+            emits[:, k] += a[t] * b[t]
+            if t:
+                moves += a[t - 1][:, None] * model.move * (model.emit[k] * b[t] / c[t])[None]
+    return starts, moves, emits
+
+
+@pytest.mark.parametrize("long,run,tokens", [(2048, 128, 500_000), (3, 4, 50), (10, 3, 30), (0, 1, 20), (0, 128, 10), (5, 2, 4)])
+def test_whole_texts_in_training(long, run, tokens, monkeypatch):
+    """Runs of long texts count as the texts they are cut from."""
+    for name, value in (("LONG", long), ("RUN", run), ("TOKENS", tokens)):
+        monkeypatch.setattr(hmm, name, value)
+    rnd = np.random.Generator(np.random.PCG64(9))
+    model, seqs = small_model(rnd), [rnd.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 6, 6, 2, 30, 17, 8, 9, 3, 25)]
+    for got, expect in zip(hmm.expected(model, seqs), plain_counts(model, seqs)):
+        assert np.allclose(got, expect, rtol=1e-4, atol=1e-5)
+
+
+def test_scores_against_a_plain_model(spark):
+    """The score column: training, forward recursion and words given their classes, from plain versions."""
+    rnd = random.Random(10)
+    rows = [(i, " ".join(rnd.choice(["sun", "Moon", "star", "run", "ran", "sat", f"w{rnd.randrange(40)}"]) for _ in range(rnd.randrange(0, 40)))) for i in range(60)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens = lambda t: [w.encode() for w in t.lower().split()] + [hmm.END]
+    seqs = [np.array([hmm.class_of(w) for w in tokens(t)], np.uint16) for t in train]
+    words = Counter(w for t in train for w in tokens(t))
+    of_class, kinds = np.bincount(np.concatenate(seqs), minlength=hmm.CLASSES), np.bincount([hmm.class_of(w) for w in words], minlength=hmm.CLASSES)
+    model = hmm.Model.first(of_class.astype(float))
+    for _ in range(2):
+        starts, moves, emits = plain_counts(model, seqs)
+        model = hmm.Model.of_counts(starts, moves, emits.T)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2, chunk=200).collect()}
+    for i, text in rows:
+        alpha, want = None, 0.0
+        for w in tokens(text):
+            k = hmm.class_of(w)
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[k]
+            want += math.log10(alpha.sum()) + math.log10((words[w] + 1) / (of_class[k] + kinds[k] + 1))
+            alpha = alpha / alpha.sum()
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
+
+
 def brute_repeats(rows):
     first = {}
     for i, t in rows:
