@@ -6,19 +6,20 @@ cut into chunks of about ``CHUNK`` bytes; the strings are judged where their con
 1. Each string has an anchor: of its ``WORD``-byte words, the one of the least hash. Equal strings have equal anchors,
    and neighbouring strings mostly share one, so about one byte in 18 is an anchor. A chunk sends the distinct hashes
    of its anchors, as sorted arrays, to buckets by range of hash; a bucket answers with one bit for each: met in
-   another chunk or not.
+   another chunk or not. It also adds up how often each occurs, and answers which do so more than ``HOT`` times.
 2. For each anchor that has met another (or another document of the chunk), the chunk sends its context, the
    bytes of all strings that have the anchor, once for each distinct context, with the smallest id. A document that
-   holds a context which a smaller id of its chunk has too needs no answer.
+   holds a context which a smaller id of its chunk has too needs no answer. The strings of a hot anchor, a phrase amid
+   ever other text, are sent one by one instead, each to the bucket of its own hash.
 3. A bucket takes contexts by ascending id, in batches of documents. A batch gets a suffix array: its places sorted by
-   the ``LENGTH`` bytes that start there. It is merge-scanned against the sorted levels of all batches before it,
-   whose ids are smaller, and what neither a level nor a smaller id of the batch has becomes a level. Levels of
+   the ``LENGTH`` bytes that start there. It is scanned against the sorted levels of all batches before it, whose ids
+   are smaller, string after string from where the last one was found by bisection, and what neither a level nor a smaller id of the batch has becomes a level. Levels of
    one size class merge, so that n strings are in O(log n) levels. A chunk gets one bit for each string it sent.
 4. The chunk marks the bytes and returns its documents.
 
 Shuffles hold 4 bytes for each anchor, compressed contexts of met anchors, bits, and the compressed texts twice (to meet the
 answers). A text that a third of all rows share travels once for each chunk, not for each row. A bucket holds the
-anchors of about ``BUCKET`` bytes of text. Hashes only choose places; strings are compared byte by byte.
+anchors of about ``BUCKET`` bytes of text, and no anchor fills one, as the hot are split. Hashes only choose places; strings are compared byte by byte.
 
 Defined results: a null text counts as empty; rows of one id are one document's parts, which remove nothing from each
 other; a null id removes nothing and loses nothing; repeated rows stay; other columns are ignored.
@@ -40,8 +41,8 @@ from quern.llm.arrow import cut, read_table
 LENGTH, WORD = 50, 16
 SPAN = LENGTH - WORD + 1
 WIDEST = LENGTH + SPAN - 1
-CHUNK, BUCKET, BATCH, LEVEL = 6_000_000, 8_000_000, 1 << 16, 5
-BLOCK = 1 << 15
+CHUNK, BUCKET, BATCH, HOT, LEVEL = 6_000_000, 8_000_000, 1 << 16, 1 << 15, 5
+OFTEN, BLOCK = 4, 1 << 15
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -155,6 +156,14 @@ def word_hashes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hashed(w[at], w[at + 8]) if len(at) else np.zeros(0, np.uint64)
 
 
+def string_hashes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the ``LENGTH`` bytes from each place."""
+    w, h = eights(text), np.zeros(len(at), np.uint64)
+    for k in (0, 16, 32):
+        h = hashed(h ^ w[at + k], w[at + k + 8]) if len(at) else h
+    return scattered(hashed(h, w[at + LENGTH - 8])) if len(at) else h
+
+
 def scattered(h: np.ndarray) -> np.ndarray:
     """Least hashes are small; keys are even over all 64 bits."""
     h = (h ^ (h >> np.uint64(31))) * C4
@@ -189,7 +198,10 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def send_keys(stored: DataFrame, n: int) -> DataFrame:
-    """(chunk, bucket, blob): 32 bits of each distinct key, enough within a bucket; what meets by chance is compared later."""
+    """(chunk, bucket, blob, many): 32 bits of each distinct key, enough within a bucket; what meets by chance is compared later.
+
+    many: places in blob of the keys that occur over ``OFTEN`` times in the chunk, and how often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,22 +211,28 @@ def send_keys(stored: DataFrame, n: int) -> DataFrame:
                 bucket = bucket_of(c.keys, n)
                 starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
                 low = (c.keys >> np.uint64(8)).astype(np.uint32)
-                blobs = [low[s:e].tobytes() for s, e in zip(starts, np.append(starts[1:], len(bucket)), strict=False)]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(blobs), pa.int64()), "bucket": bucket[starts], "blob": pa.array(blobs, pa.binary())})
+                stops = np.append(starts[1:], len(bucket))
+                blobs = [low[s:e].tobytes() for s, e in zip(starts, stops, strict=False)]
+                times = np.bincount(c.number, minlength=len(c.keys))
+                often = [np.flatnonzero(times[s:e] > OFTEN) for s, e in zip(starts, stops, strict=False)]
+                many = [np.stack([o, times[s:][o]]).astype(np.uint32).tobytes() for o, s in zip(often, starts, strict=True)]
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(blobs), pa.int64()), "bucket": bucket[starts], "blob": pa.array(blobs, pa.binary()), "many": pa.array(many, pa.binary())})
 
-    return stored.mapInArrow(run, "chunk long, bucket long, blob binary")
+    return stored.mapInArrow(run, "chunk long, bucket long, blob binary, many binary")
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """One bucket: for each chunk's keys, whether another chunk has them."""
+def meet(table: pa.Table, hot: int = HOT) -> pa.Table:
+    """One bucket: for each chunk's keys, whether another chunk has them; if any of them is hot, the same for that."""
     own = [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
-    ranked = np.sort(np.concatenate(own))
-    often = ranked[1:][ranked[1:] == ranked[:-1]]
-    often = often[np.concatenate([[True], often[1:] != often[:-1]])] if len(often) else often
+    kinds, met = np.unique(np.concatenate(own), return_counts=True)
+    times = met.astype(np.int64)
+    for keys, many in zip(own, table.column("many").to_pylist(), strict=True):
+        place, often = np.frombuffer(many, np.uint32).reshape(2, -1)
+        times[np.searchsorted(kinds, keys[place])] += often - 1
     bits = []
     for keys in own:
-        at = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
-        bits.append(np.packbits(often[at] == keys if len(often) else np.zeros(len(keys), bool)).tobytes())
+        at = np.searchsorted(kinds, keys)
+        bits.append(np.packbits(met[at] > 1).tobytes() + (np.packbits(times[at] > hot).tobytes() if (times[at] > hot).any() else b""))
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -237,28 +255,36 @@ def send_contexts(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
         c = Chunk(row)
         c.anchor()
         bucket = bucket_of(c.keys, n)
-        met = c.met_here.copy()
+        met, hot = c.met_here.copy(), np.zeros(len(c.keys), bool)
         for b, bits in sorted(zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True)):
             s, e = np.searchsorted(bucket, [b, b + 1])
-            met[s:e] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(e - s)).astype(bool)
+            size = (int(e - s) + 7) // 8
+            met[s:e] |= np.unpackbits(np.frombuffer(bits[:size], np.uint8), count=int(e - s)).astype(bool)
+            if len(bits) > size:
+                hot[s:e] = np.unpackbits(np.frombuffer(bits[size:], np.uint8), count=int(e - s)).astype(bool)
         use = np.flatnonzero(met[c.number])
-        use = use[np.argsort(c.ids[c.doc[use]], kind="stable")]
-        first, size, ids = c.first[use], c.last[use] - c.first[use] + LENGTH, c.ids[c.doc[use]]
+        first, size, ids, dest = c.first[use], c.last[use] - c.first[use] + LENGTH, c.ids[c.doc[use]], bucket[c.number[use]]
+        if (split := hot[c.number[use]]).any():  # strings one by one
+            each = size[split] - LENGTH + 1
+            single = np.repeat(first[split] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+            first, size, ids, dest = (np.concatenate(x) for x in ((first[~split], single), (size[~split], np.full(len(single), LENGTH)), (ids[~split], np.repeat(ids[split], each)), (dest[~split], bucket_of(string_hashes(c.text, single), n))))
+        order = np.argsort(ids, kind="stable")
+        first, size, ids, dest = first[order], size[order], ids[order], dest[order]
         strings = as_strings(rows_of(c.text, first, size))
         _, lead, which = np.unique(strings, return_index=True, return_inverse=True)
-        here = bucket[c.number[use[lead]]]
+        here = dest[lead]
         order = np.argsort(here, kind="stable")
         lead, here = lead[order], here[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         sent = place[which]
-        gone = ids > ids[lead[sent]] if len(use) else np.zeros(0, bool)
+        gone = ids > ids[lead[sent]] if len(first) else np.zeros(0, bool)
         out["chunk"].append(row["chunk"])
         out["bucket"].append(-1)
         starts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])).tolist() if len(here) else []
         stops = [*starts[1:], len(here)][: len(starts)]
         counts = np.array([e - s for s, e in zip(starts, stops, strict=True)], np.int64)
-        out["blob"].append(pack(np.array([len(use), len(lead), len(counts)], np.int64), counts, *(a.astype(np.uint32) for a in (first, sent)), *(a.astype(np.uint8) for a in (size, size[lead], gone))))
+        out["blob"].append(pack(np.array([len(first), len(lead), len(counts)], np.int64), counts, *(a.astype(np.uint32) for a in (first, sent)), *(a.astype(np.uint8) for a in (size, size[lead], gone))))
         for s, e in zip(starts, stops, strict=True):
             own = lead[s:e]
             text = np.concatenate([c.text[f : f + z] for f, z in zip(first[own].tolist(), size[own].tolist(), strict=True)])
@@ -276,7 +302,7 @@ class Family:
         self.levels: list[np.ndarray] = []
 
     def scan(self, batch: np.ndarray) -> np.ndarray:
-        """Which of the sorted strings of a batch a level has."""
+        """Which of the sorted strings of a batch a level has; both are in order, so bisection goes on from what was found last."""
         hit = np.zeros(len(batch), bool)
         for level in self.levels:
             at = np.searchsorted(level, batch)
@@ -393,11 +419,11 @@ def remove(left: pa.Table, right: pa.Table, texts: bool) -> pa.Table:
     return pa.table({k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
 
 
-def without_repeats(docs: DataFrame, texts: bool = True, chunk: int = CHUNK, bucket: int = BUCKET, batch: int = BATCH) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True, chunk: int = CHUNK, bucket: int = BUCKET, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of ``docs``; kept: the bytes left, or null."""
     stored = cut(chunks(docs, chunk))
     n = max(1, min(1 << 24, -(-int(stored.agg(F.sum("n_bytes")).first()[0] or 0) // bucket)))
-    met = send_keys(stored, n).groupBy("bucket").applyInArrow(meet, "chunk long, bucket long, bits binary")
+    met = send_keys(stored, n).groupBy("bucket").applyInArrow(lambda t: meet(t, hot), "chunk long, bucket long, bits binary")
     sent = cut(stored.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(lambda a, b: send_contexts(a, b, n), "chunk long, bucket long, blob binary"))
     answers = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: judge(t, batch), "chunk long, bucket long, blob binary")
     back = sent.where("bucket < 0").unionByName(answers)

@@ -262,7 +262,7 @@ def brute_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("sizes", [(6_000_000, 8_000_000, 1 << 16), (700, 900, 64)])
+@pytest.mark.parametrize("sizes", [(6_000_000, 8_000_000, 1 << 16), (700, 900, 64), (700, 900, 64, 3), (6_000_000, 8_000_000, 1 << 16, 1)])
 def test_repeated_strings(spark, odd, none, sizes):
     rnd = random.Random(sizes[0])
     base = ["".join(rnd.choice("ab é\0") for _ in range(300)) for _ in range(6)]
@@ -274,3 +274,26 @@ def test_repeated_strings(spark, odd, none, sizes):
     got = sorted((tuple(r)[:5] for r in suffixes.without_repeats(df, False, *sizes).collect()), key=repr)
     assert got == brute_repeats(rows)
     assert suffixes.without_repeats(none).count() == 0
+
+
+def met_with(hot):
+    return lambda table: suffixes.meet(table, hot)
+
+
+def test_a_phrase_in_many_contexts(spark):
+    """The strings around a phrase that all documents hold spread over all buckets, and are removed as ever."""
+    rnd = random.Random(12)
+    phrase = "Copyright by the authors of this"
+    rows = [(i, "".join(rnd.choice("abcdef ") for _ in range(60)) + phrase + "".join(rnd.choice("abcdef ") for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, rows[i * 7][1][: 100 + i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = {}
+    for hot in (1 << 15, 20):
+        got = sorted((tuple(r)[:5] for r in suffixes.without_repeats(df, False, 10_000, 4_000, 64, hot).collect()), key=repr)
+        assert got == brute_repeats(rows)
+        stored = suffixes.cut(suffixes.chunks(df, 10_000))
+        met = suffixes.send_keys(stored, 12).groupBy("bucket").applyInArrow(met_with(hot), "chunk long, bucket long, bits binary")
+        sent = stored.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(lambda a, b: suffixes.send_contexts(a, b, 12), "chunk long, bucket long, blob binary")
+        judged = suffixes.cut(sent).where("bucket >= 0").groupBy("bucket").agg(F.sum(F.length("blob")).alias("n")).collect()
+        sizes[hot] = max(r["n"] for r in judged) / sum(r["n"] for r in judged)
+    assert sizes[1 << 15] > 0.3 and sizes[20] < 0.2
