@@ -3,13 +3,18 @@
 Base spans, leftmost and not overlapping within a kind: ``assign`` (a keyword, a separator and a value; the span
 is the whole match), ``access`` and ``hex``. The method adds ``novel`` spans. A candidate is a run of 16 or more
 characters of a key's alphabet, with a letter, that has a sensitive word in the ``CONTEXT`` characters before it or
-follows a reported one within ``NEXT`` (the lines of a long key), and touches no base span but ``hex`` within it. Its novelty is the marginal number of bytes:
-what zstandard, primed with a dictionary of identifiers and ordinary words, needs for the surrounding text with
-the candidate appended, less what it needs without; copies of the candidate, whole or in part, are taken out of that
-text, and so are other runs that are novel to the dictionary alone (the other lines of a key, or other keys). Each distinct candidate of a text is judged once, where it first stands, and reported wherever it occurs. Candidates that need as many bits a character as
-random characters of their classes (hexadecimal, lower case, upper case, digits, signs), and do so in lower case too, are
-reported: random keys
-repeat neither the dictionary nor the text around them, identifiers and paths do.
+follows a reported one within ``NEXT`` (the lines of a long key), and touches no base span but ``hex`` within it. Its
+novelty is the marginal number of bytes: what zstandard, primed with a dictionary, needs for a text with the candidate
+appended, less what it needs without. For that, candidates are cut into words, as identifiers are written (signs, changes
+of case, digits), in lower case. The dictionary holds the words of the running Python's library code, those used most
+last, and some of code and prose around keys; it is made on the driver and sent to the tasks.
+
+A candidate is reported if it needs as many bytes as random strings do. First ``FLOOR`` random strings of its classes of
+characters (hexadecimal letters, others, upper case, digits, each sign) and its length are packed after the same
+ordinary text; one that needs less than ``CLOSE`` of what the least of them needs is none. Then it is packed after the text around it, and must need
+``SHARE`` of what random strings need there. Copies of the candidate, whole or in part, are taken out of that text, and
+so are other runs that are novel to the dictionary (the other lines of a key, or other keys). Each distinct candidate of
+a text is judged once, where it first stands, and reported wherever it occurs.
 
 Defined results: a null text counts as empty (no spans); offsets are code points, ends exclusive; texts are
 scanned whole; repeated rows stay; other columns are ignored.
@@ -18,9 +23,11 @@ scanned whole; repeated rows stay; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from collections import Counter
 from functools import lru_cache
-from math import log2
+from random import Random
 
 import regex
 import zstandard
@@ -30,6 +37,7 @@ from quern.llm.arrow import map_rows, read_table
 
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT, AROUND, NEXT, SHORTEST = 64, 512, 8, 16
+FLOOR, CLOSE, SOME, SHARE, WORD_BYTES = 200, 0.97, 8, 0.6, 60_000
 MASK = "[SECRET]"
 
 # Words that make a context sensitive.
@@ -53,13 +61,36 @@ stream string system table target task template test_case thread time_stamp titl
 deadbeefdeadbeefdeadbeef 1234567890abcdef 123456789012345678901234567890
 """
 
+# Modules of Python's library whose words the dictionary takes.
+MODULES = """
+argparse ast base64 calendar cmd codecs configparser csv datetime decimal difflib email/message ftplib getpass gettext
+hashlib hmac http/client http/cookies http/server imaplib inspect json/decoder logging/__init__ logging/config mailbox
+mimetypes netrc optparse os pathlib/__init__ pdb pickle platform poplib random secrets shutil smtplib socket socketserver
+sqlite3/dump ssl statistics string subprocess tarfile tempfile threading tokenize unittest/case unittest/mock urllib/parse
+urllib/request urllib/robotparser uuid webbrowser xml/dom/minidom zipfile/__init__
+""".split()
+# Ordinary text, after which random strings are packed.
+ORDINARY = """
+def connect(host, port, timeout=30):
+    # Open a connection and return a client for it.
+    client = Client(host, port, timeout=timeout)
+    client.login(os.environ["USER_NAME"], settings.get("PASSWORD_FILE"))
+    if not client.is_open:
+        raise ConnectionError("could not reach the service at %s:%d" % (host, port))
+    return client.session(retries=3, user="admin")
+
+The configuration of each service is kept in a file; its path is given by the option --config, e.g. /etc/service/config.yaml.
+"""
+
 _assign = regex.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.I | regex.A)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{16,}")
 _sensitive = regex.compile(SENSITIVE, regex.I | regex.A)
 _run = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 _letter = re.compile(r"[A-Za-z]")
-_classes = [(re.compile(r"[0-9]"), 10), (re.compile(r"[a-f]"), 6), (re.compile(r"[g-z]"), 20), (re.compile(r"[A-F]"), 6), (re.compile(r"[G-Z]"), 20)]
+_classes = [(re.compile(f"[{c}]"), c) for c in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")]
+_signs = re.compile(r"[+/_=.-]+")
+_joints = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
 def base_spans(text: str, sensitive: bool) -> list[tuple[int, int, int]]:
@@ -70,28 +101,80 @@ def base_spans(text: str, sensitive: bool) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def words(candidate: str) -> str:
+    """An identifier's words, in lower case."""
+    return _joints.sub(" ", _signs.sub(" ", candidate)).lower()
+
+
+@lru_cache(1)
+def dictionary() -> str:
+    """Words of library code by how often they are used, and those of ``IDENTIFIERS``: what is used most stands last."""
+    found: Counter[str] = Counter()
+    for name in MODULES:
+        try:
+            with open(f"{os.path.dirname(os.__file__)}/{name}.py", encoding="utf-8") as f:
+                found.update(w.lower() for w in re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", f.read()))
+        except OSError:
+            continue  # a library without its sources
+    common = sorted((w for w, n in found.items() if len(w) >= 4 and n >= 2), key=lambda w: (found[w], w))
+    return f"{' '.join(common)[-WORD_BYTES:]} {IDENTIFIERS}"
+
+
 class Novelty:
-    """A zstandard compressor primed with identifiers; made once for a worker."""
+    """A zstandard compressor primed with a dictionary; made once for a worker."""
+
+    def __init__(self, primed: str):
+        self.primed = primed
+        known = zstandard.ZstdCompressionDict(primed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTULTRA2, window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=3, target_length=256, write_checksum=False, write_content_size=False, write_dict_id=False)
+        self.pack = zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
+        self.size, self.floor = lru_cache(256)(self.size_of), lru_cache(10_000)(self.floor_of)
+
+    def size_of(self, around: bytes) -> int:
+        return len(self.pack(around))
 
-    def __init__(self, identifiers: str = IDENTIFIERS):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pack = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False).compress
+    def marginal(self, around: str, candidate: str) -> int:
+        """Bytes that ``candidate`` needs after ordinary text and ``around``."""
+        known = (ORDINARY + around).encode("utf-8", "replace") + b"\n"
+        return len(self.pack(known + words(candidate).encode())) - self.size(known)
 
-    def bits(self, around: str, candidate: str) -> float:
-        """Marginal bits for each character of ``candidate`` after ``around``."""
-        known = around.encode("utf-8", "replace") + b"\n"
-        return 8 * (len(self.pack(known + candidate.encode())) - len(self.pack(known))) / len(candidate)
+    def floor_of(self, alphabet: str, length: int) -> int:
+        """The least that random strings of an alphabet need."""
+        return min(self.marginal("", r) for r in random_strings(alphabet, length, FLOOR))
 
+    def high(self, candidate: str) -> bool:
+        """Whether the candidate needs what random strings of its classes need, or close to it. Lengths over 40 are taken in steps."""
+        step = max(1, len(candidate) // 16) if len(candidate) > 40 else 1
+        length = len(candidate) // step * step
+        return self.marginal("", candidate) >= CLOSE * self.floor(alphabet_of(candidate), length)
 
-def allowed(candidate: str) -> float:
-    """Bits of a random character of the classes that the candidate has; a sign is a class of its own."""
-    size = sum(n for one, n in _classes if one.search(candidate)) + len(set("+/_=.-").intersection(candidate))
-    return log2(max(2, size))
+    def high_in(self, candidate: str, around: str) -> bool:
+        """The same after ``around``, with fewer strings and a margin."""
+        if not around:
+            return True
+        usual = sorted(self.marginal(around, r) for r in random_strings(alphabet_of(candidate), len(candidate), SOME))[SOME // 2]
+        return self.marginal(around, candidate) >= SHARE * usual
+
+
+def alphabet_of(candidate: str) -> str:
+    return "".join(chars for one, chars in _classes if one.search(candidate)) + "".join(sorted(set("+/_=.-").intersection(candidate)))
+
+
+def random_strings(alphabet: str, length: int, n: int) -> list[str]:
+    rnd = Random(f"{alphabet}{length}")
+    return ["".join(rnd.choices(alphabet, k=length)) for _ in range(n)]
 
 
 _novelty: list[Novelty] = []
 
 
+def novelty(primed: str | None = None) -> Novelty:
+    """This worker's compressor; ``primed``: the driver's dictionary."""
+    if not _novelty or (primed is not None and _novelty[0].primed != primed):
+        _novelty[:] = [Novelty(dictionary() if primed is None else primed)]
+    return _novelty[0]
+
+
 def surroundings(text: str, start: int, end: int) -> str:
     """The text around a candidate, without what it has in common with the candidate over ``SHORTEST`` or more characters."""
     own = {text[i : i + SHORTEST] for i in range(start, end - SHORTEST + 1)}
@@ -111,11 +194,6 @@ def known(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
     return any(b[0] < end and start < b[2] and (b[1] != 2 or (b[0] <= start and end <= b[2])) for b in base)
 
 
-def random(candidate: str, around: str = "") -> bool:
-    """Whether the candidate, as it is and in lower case, needs the bits of random characters after ``around``."""
-    return all(_novelty[0].bits(around, form) >= allowed(form) for form in {candidate, candidate.lower()})
-
-
 def occurrences(text: str, candidates: list[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Every place of each candidate in the text that base spans don't cover and that lies in no longer one."""
     found = set()
@@ -133,14 +211,13 @@ def occurrences(text: str, candidates: list[str], base: list[tuple[int, int, int
     return out
 
 
-def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, sensitive: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates after each sensitive word (start, end) whose novelty is high, wherever they occur."""
-    if not _novelty:
-        _novelty.append(Novelty())
+    judge = novelty()
     novel: dict[str, bool] = {}
-    looks = lru_cache(1024)(random)
+    looks = lru_cache(1024)(judge.high)
     seen = 0
-    for _, after in words:
+    for _, after in sensitive:
         stop = after + CONTEXT
         for m in _run.finditer(text, max(after, seen)):
             if m.start() >= stop:
@@ -148,8 +225,7 @@ def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, i
             seen = m.end()
             s, e = m.start(), m.end()
             if m.group() not in novel and _letter.search(text, s, e) and not known(s, e, base):
-                around = _run.sub(lambda r: "" if looks(r[0]) else r[0], surroundings(text, s, e))
-                novel[m.group()] = random(m.group(), around)
+                novel[m.group()] = looks(m.group()) and judge.high_in(m.group(), _run.sub(lambda r: "" if looks(r[0]) else r[0], surroundings(text, s, e)))
             if novel.get(m.group()):
                 stop = max(stop, e + NEXT)
     return occurrences(text, [c for c, high in novel.items() if high], base)
@@ -158,9 +234,9 @@ def novel_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, i
 def all_spans(text: str | None) -> list[tuple[int, int, int]]:
     """Every span of a text by start, then kind as listed."""
     text = text or ""
-    words = [m.span() for m in _sensitive.finditer(text)]
-    base = base_spans(text, bool(words))
-    return sorted(base + novel_spans(text, words, base)) if words else base
+    sensitive = [m.span() for m in _sensitive.finditer(text)]
+    base = base_spans(text, bool(sensitive))
+    return sorted(base + novel_spans(text, sensitive, base)) if sensitive else base
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
@@ -179,8 +255,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each document with its spans."""
+    primed = dictionary()
 
     def run(rows: dict) -> dict:
+        novelty(primed)
         spans = [all_spans(t) for t in rows["text"]]
         base = [[x for x in xs if x[1] < 3] for xs in spans]
         return {
@@ -195,8 +273,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the same columns, each secret in ``text`` masked and ``n_chars`` counted anew. Null texts stay null."""
+    primed = dictionary()
 
     def run(rows: dict) -> dict:
+        novelty(primed)
         text = [t if t is None else masked(t, all_spans(t)) for t in rows["text"]]
         return rows | {"text": text} | ({"n_chars": [n if t is None else len(t) for t, n in zip(text, rows["n_chars"], strict=True)]} if "n_chars" in rows else {})
 
