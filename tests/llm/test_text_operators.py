@@ -216,13 +216,13 @@ def test_pipeline(spark):
     """Each stage's decisions, against plain versions of them."""
     from tokenizers import Tokenizer
 
-    from tests.llm.test_corpus_operators import brute_components
+    from tests.llm.test_nearcopies import brute_gone
 
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     pred = langid.op8_language_id(spark, SF).toPandas().set_index("doc_id")
     left = {i: t for i, t in zip(docs.doc_id, docs.text) if pred.lang_pred[i] != "und" and pred.score[i] >= 3 / math.sqrt(langid.DIMENSIONS)}
-    roots = brute_components(list(left.items()))
-    left = {i: t for i, t in left.items() if roots[i][1] == i}
+    gone = brute_gone(list(left.items()))
+    left = {i: t for i, t in left.items() if i not in gone}
     words = re.compile(r"\w+").findall
     for text in pd.read_parquet(f"{SF}/benchmark.parquet").text:
         left = {i: t for i, t in left.items() if not holds(text, words(t.lower()))}
@@ -230,3 +230,24 @@ def test_pipeline(spark):
     want = {i: lib.encode(secrets.masked(t, secrets.all_spans(t)), add_special_tokens=False).ids for i, t in left.items()}
     got = {r["doc_id"]: list(struct.unpack(f"<{r['n_tokens']}I", r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, and tables without rows."""
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "no such item is anywhere in these documents at all")], "item_id long, text string")
+    texts = [(20, "the same words come again here and there, and nobody minds them in the least " * 3), (21, "the same words come again here and there, and nobody minds them in the least " * 3), (22, "No such item is anywhere in these documents at all."), (23, "the token of this one is Bearer q8Zt4Lw0Vn7Xc2Rk5Hd9Sj3Fp6Bm1Ty and no other")]
+    more = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS fp", "2 AS a", "3 AS key", "4 AS node", "5 AS row", "6 AS chunk", "7 AS gone")
+    for name, docs, benchmark in (("odd", odd.union(more), items), ("none", none, items.limit(0)), ("no_items", odd.union(more), items.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = {r["doc_id"] for r in got}
+        if name == "none":
+            assert got == []
+        else:
+            assert {20, 23} <= ids and not {0, 1, 2, 21} & ids and (22 in ids) == (name == "no_items")
+            assert "q8zt" not in next(r["decoded"] for r in got if r["doc_id"] == 23).replace(" ", "")
+        stage = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            stage = step(spark, stage, f"{tmp_path}/{name}")
+            assert stage.columns == odd.columns
