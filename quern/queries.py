@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.functions.coercions import from_csv
 from quern.functions.predicates import predicate
-from quern.operators.changes import changes, deleted, new_key, state, updated
+from quern.operators.aggregate import as_document
+from quern.operators.changes import changes, deleted, inserted, new_key, replaced, state, updated
 from quern.operators.nest import embed, flatten
 from quern.plans.query import Query, get, hex_key, key_range, keyed, scan, scan_stores
 from quern.sources import bson
@@ -340,6 +341,46 @@ def bson_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return read.select(F.from_json("json", nation.schema).alias("d")).select("d.*")
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def bson_file_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    orders, path = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), shared_folder(s)
+    bson.write_bson(orders, path)
+    return bson.read_bson(s, path).where("NOT failed").select(F.from_json("json", orders.schema).alias("d")).select("d.*")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_keys, count(*) + 99 AS last_lsn, sum(o_totalprice) AS total FROM orders")
+def insert_batch(s: SparkSession, d: str) -> DataFrame:
+    """Documents without keys into a log, under new keys."""
+    log = inserted(table(s, d, "orders"), "orders", 7, first_lsn=100, ts=1_700_000_000_000)
+    return state(log).agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"), F.max("lsn").alias("last_lsn"), F.sum("o_totalprice").alias("total"))
+
+
+@query("SELECT user_id, CASE WHEN user_id = 7 THEN 'view' ELSE event_type END AS event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
+def update_by_key(s: SparkSession, d: str) -> DataFrame:
+    """A user's document replaced by its key, if it is there."""
+    log = event_log(s, d)
+    key = f"{7:032x}"
+    change = replaced(log, key, s.createDataFrame([(7, "view", 0.0)], "user_id long, event_type string, value double"), "users", ts=0)
+    return state(log.unionByName(change, allowMissingColumns=True)).select("user_id", "event_type")
+
+
+@query("SELECT event_type AS type, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
+def group_as_document(s: SparkSession, d: str) -> DataFrame:
+    """Groups as documents of key and values."""
+    groups = Query(table(s, d, "events")).group_by("event_type").aggregate(n="count", top=("max", "value")).frame()
+    return as_document(groups, ["event_type"], ["n", "top"]).select(F.col("key.event_type").alias("type"), "values.n", "values.top")
+
+
+@query("""SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY kind, num, str, event_id) AS rank FROM
+          (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS kind, CASE WHEN event_id % 4 = 0 THEN value END AS num, CASE WHEN event_id % 4 = 1 THEN event_type END AS str FROM events)) WHERE rank > 2400 AND rank <= 2600""")
+def sort_across_classes(s: SparkSession, d: str) -> DataFrame:
+    """A field of numbers, strings, nulls and nothing: numbers come first, what is missing last."""
+    v = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(F.col("value").alias("v")))).when(F.col("event_id") % 4 == 1, F.to_json(F.struct(F.col("event_type").alias("v")))).when(F.col("event_id") % 4 == 2, '{"v": null}').otherwise("{}")
+    docs = table(s, d, "events").select(hex_key(F.col("event_id")).alias("key"), "event_id", F.parse_json(v).alias("doc"))
+    page = Query(docs).order_by("v").skip(2400).limit(200).frame()
+    return page.select("event_id", (F.row_number().over(Window.orderBy(*Query(docs).order_by("v").order())) + 2400).alias("rank"))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 99 AS lsn, 'insert' AS kind FROM orders")
 def append_changes(s: SparkSession, d: str) -> DataFrame:
     rows = keyed(table(s, d, "orders"), "o_orderkey")

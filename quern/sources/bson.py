@@ -1,5 +1,8 @@
 """Documents as BSON bytes. The codec covers what documents hold: double, string, document, array, object id, bool,
-datetime, null, int32 and int64. It runs over Arrow batches; a document that can't be read is counted, not fatal."""
+datetime, null, int32 and int64. It runs over Arrow batches; a document that can't be read is counted, not fatal.
+
+A file is documents one after the other. Spark's text writer makes it: a document ends with a zero byte, which is the
+line separator there. A file has no places to begin at but the first, so reading takes one task for each file."""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -108,3 +111,14 @@ def from_bson(df: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"json": pa.array(found[k : k + 10_000], pa.string()), "failed": pa.array(failed[k : k + 10_000], pa.bool_())})
 
     return df.select(F.col("bson")).mapInArrow(run, "json string, failed boolean")
+
+
+def write_bson(df: DataFrame, path: str) -> None:
+    """The rows as files of documents."""
+    raw = to_bson(df).select(F.expr("CAST(substring(bson, 1, length(bson) - 1) AS STRING)").alias("value"))
+    raw.write.option("lineSep", "\0").text(path)
+
+
+def read_bson(spark: SparkSession, path: str) -> DataFrame:
+    """(json, failed) of all documents in the files under ``path``."""
+    return from_bson(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("content").alias("bson")))

@@ -97,7 +97,7 @@ def export_by_manifest(store: DataFrame, manifest: Manifest, now_ms: int = 0) ->
         elif manifest.format == "json":
             export_json(query, path)
         else:
-            bson.to_bson(query.frame()).write.parquet(path)
+            bson.write_bson(query.frame(), path)
         return [path]
     root, found = manifest.root(), query.frame()
     paths = [place(root, "")]

@@ -265,6 +265,16 @@ def test_files(spark, people):
     assert bson.decode(bson.encode({"a": None, "b": 1 << 40, "c": [1, {"d": "é"}], "t": dt.datetime(1970, 1, 1, 0, 0, 1)}))[0] == {"a": None, "b": 1 << 40, "c": [1, {"d": "é"}], "t": 1000}
 
 
+def test_bson_files(spark, people, tmp_path):
+    """Files are documents one after the other, byte for byte."""
+    df = people.select("key", "name", "age", "active", "rating").repartition(2)
+    bson.write_bson(df, f"{tmp_path}/b")
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("part-*")))
+    assert len(raw) == sum(len(r[0]) for r in bson.to_bson(df).collect())
+    found = [json.loads(r["json"]) for r in bson.read_bson(spark, f"{tmp_path}/b").collect() if not r["failed"]]
+    assert sorted(f["key"] for f in found) == sorted(r["key"] for r in df.collect()) and {f.get("name") for f in found} == {"Alice", "Bob", None, "a.i|x"}
+
+
 def test_catalog(spark, people):
     c = Catalog(spark)
     assert c.create("shop.people", lambda: people) and not c.create("shop.people", lambda: people)
