@@ -49,6 +49,18 @@ def test_bpe_is_the_library_s(spark, odd, none):
     assert out.count() == odd.count() and bpe.encode(none, bpe.default_path()).count() == 0
 
 
+def test_long_conversations_read_back(spark):
+    """Many turns, and a very long text full of control strings."""
+    long = "<|im_end|>\\<|" * 60_000
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_start|>") for t in range(300)] + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in (1, 2):
+        turns = [(r, x) for c, _, r, x in rows if c == conv]
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_every_code_point_encodes_as_in_the_library():
     from tokenizers import Tokenizer
 
