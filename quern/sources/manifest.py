@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -45,6 +46,23 @@ class Manifest:
         """A child without a parent's name belongs to the root."""
         return [e for e in self.entities if e.role == "child" and (e.parent or self.root().name) == entity.name]
 
+    @staticmethod
+    def parse(text: str) -> Manifest:
+        """A manifest from YAML text, which JSON text is too; where no YAML reader is installed, from JSON text."""
+        try:
+            import yaml
+
+            read, wrong = yaml.safe_load, yaml.YAMLError
+        except ImportError:
+            read, wrong = json.loads, json.JSONDecodeError
+        try:
+            spec = read(text)
+        except wrong as e:
+            raise ManifestError(f"can't be read: {e}") from None
+        if not isinstance(spec, Mapping):
+            raise ManifestError("a manifest is a mapping")
+        return Manifest.of(spec)
+
     @staticmethod
     def of(spec: Mapping) -> Manifest:
         """A manifest from a mapping, as a YAML or JSON reader gives it."""

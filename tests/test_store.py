@@ -238,12 +238,41 @@ def test_manifest_and_nesting(spark):
     for spec in ({}, {"format": "csv"}, {"store": "s"}, {"store": "s", "format": "xml"}, *({"store": "s", "format": "csv", "entities": [e]} for e in wrong)):
         with pytest.raises(ManifestError):
             Manifest.of(spec)
-    assert Manifest.of(manifest.mapping()) == manifest
+    assert Manifest.of(manifest.mapping()) == manifest == Manifest.parse(json.dumps(manifest.mapping()))
     with pytest.raises(ManifestError):
         embed_all({"orders": spark.range(1), "items": spark.range(1), "attributes": spark.range(1)}, manifest)
     assert expand("${today} ${yesterday} ${now}", 90_000_000) == "86400000 0 90000000"
 
 
+def test_manifest_text():
+    text = """
+store: stores.orders   # a comment
+format: csv
+output_dir: /data/orders
+entities:
+  - name: orders
+    role: parent
+    file: orders.csv
+    fields:
+      - name: order_id
+        type: int
+      - {name: total, type: double}
+  - name: items
+    role: child
+    parent_field: items
+    join_key: order_id
+    fields: [{name: item_id, type: int}, {name: note}]
+  - {name: attributes, role: child, parent: items, join_key: item_id, fields: [{name: attr_name}]}
+"""
+    manifest = Manifest.parse(text)
+    root = manifest.root()
+    assert (manifest.store, manifest.format, manifest.output_dir, root.fields) == ("stores.orders", "csv", "/data/orders", (("order_id", "int"), ("total", "double")))
+    assert [c.name for c in manifest.children(root)] == ["items"] and [c.name for c in manifest.children(manifest.children(root)[0])] == ["attributes"]
+    for bad in ("a: [", "- a", "store: s", "3"):
+        with pytest.raises(ManifestError):
+            Manifest.parse(bad)
+
+
 def test_files(spark, people):
     folder = shared_folder(spark)
     manifest = export_csv(Query(people).where("age", "exists"), f"{folder}/csv")
