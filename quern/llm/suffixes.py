@@ -6,7 +6,8 @@ cut into chunks of about ``CHUNK`` bytes; the strings are judged where their con
 1. Each string has an anchor: of its ``WORD``-byte words, the one of the least hash. Equal strings have equal anchors,
    and neighbouring strings mostly share one, so about one byte in 18 is an anchor. A chunk sends the distinct hashes
    of its anchors, as sorted arrays, to buckets by range of hash; a bucket answers with one bit for each: met in
-   another chunk or not. It also adds up how often each occurs, and answers which do so more than ``HOT`` times.
+   another chunk or not. It also adds up how many different contexts each has (2.) in the chunks, and answers which
+   have more than ``HOT``.
 2. For each anchor that has met another (or another document of the chunk), the chunk sends its context, the
    bytes of all strings that have the anchor, once for each distinct context, with the smallest id. A document that
    holds a context which a smaller id of its chunk has too needs no answer. The strings of a hot anchor, a phrase amid
@@ -132,6 +133,21 @@ class Chunk:
         self.met_here[(np.cumsum(new) - 1)[differs]] = True
 
 
+    def contexts(self) -> np.ndarray:
+        """How many different contexts each key has; up to ``OFTEN`` places, copies are not looked for."""
+        times = np.bincount(self.number, minlength=len(self.keys))
+        some = np.flatnonzero(times[self.number] > OFTEN)
+        if len(some):
+            both = string_hashes(self.text, self.first[some]) * C3 + string_hashes(self.text, self.last[some])
+            number = self.number[some]
+            order = np.lexsort((both, number))
+            number, both = number[order], both[order]
+            new = np.concatenate([[True], (number[1:] != number[:-1]) | (both[1:] != both[:-1])])
+            times[number] = 0
+            np.add.at(times, number[new], 1)
+        return times
+
+
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD))
 
 
@@ -200,7 +216,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 def send_keys(stored: DataFrame, n: int) -> DataFrame:
     """(chunk, bucket, blob, many): 32 bits of each distinct key, enough within a bucket; what meets by chance is compared later.
 
-    many: places in blob of the keys that occur over ``OFTEN`` times in the chunk, and how often.
+    many: places in blob of the keys that have over ``OFTEN`` different contexts in the chunk, and how many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +229,7 @@ def send_keys(stored: DataFrame, n: int) -> DataFrame:
                 low = (c.keys >> np.uint64(8)).astype(np.uint32)
                 stops = np.append(starts[1:], len(bucket))
                 blobs = [low[s:e].tobytes() for s, e in zip(starts, stops, strict=False)]
-                times = np.bincount(c.number, minlength=len(c.keys))
+                times = c.contexts()
                 often = [np.flatnonzero(times[s:e] > OFTEN) for s, e in zip(starts, stops, strict=False)]
                 many = [np.stack([o, times[s:][o]]).astype(np.uint32).tobytes() for o, s in zip(often, starts, strict=True)]
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([row["chunk"]] * len(blobs), pa.int64()), "bucket": bucket[starts], "blob": pa.array(blobs, pa.binary()), "many": pa.array(many, pa.binary())})
