@@ -133,13 +133,27 @@ class Model:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def in_time(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(values of all sequences by time, bounds of each time in it); the sequences come from the longest to the shortest."""
+def in_time(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of all sequences by time, bounds of each time in it, the sequence of each); the sequences come from the longest to the shortest."""
     size = np.array([len(s) for s in seqs])
     ends = np.cumsum(size)
-    time = np.arange(ends[-1], dtype=np.int32) - np.repeat((ends - size).astype(np.int32), size)
+    time = (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int16 if size[0] < 1 << 15 else np.int64)
     order = np.argsort(time, kind="stable")
-    return np.concatenate(seqs)[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(time))])
+    at = np.concatenate([[0], np.cumsum(np.bincount(time))])
+    return np.concatenate(seqs)[order].astype(np.int64), at, np.arange(ends[-1]) - np.repeat(at[:-1], np.diff(at))
+
+
+def forward(move: np.ndarray, e: np.ndarray, at: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Replaces ``e`` [state, token], likelihoods of the tokens by time, by the states' probabilities so far; returns the scales."""
+    scale, back, last = np.empty(e.shape[1], e.dtype), np.ascontiguousarray(move.T), prior
+    for s, t in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        a = e[:, s:t]
+        a *= last[:, : t - s]
+        total = scale[s:t]
+        a.sum(0, out=total)
+        a /= total
+        last = back @ a
+    return scale
 
 
 def sweep(model: Model, seqs: list[np.ndarray], prior: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,45 +163,45 @@ def sweep(model: Model, seqs: list[np.ndarray], prior: np.ndarray, before: np.nd
     text; ``after``, the likelihood of what follows given its last state, up to a factor.
     """
     emit, move = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.move.astype(np.float32)
-    x, at = in_time(seqs)
-    e, s = emit[:, x], len(move)
-    alpha, scale = np.empty_like(e), np.empty(len(x), np.float32)
-    back = np.ascontiguousarray(move.T)
-    for t in range(len(at) - 1):
-        own = slice(at[t], at[t + 1])
-        n = at[t + 1] - at[t]
-        a = (prior if t == 0 else back @ alpha[:, at[t - 1] : at[t - 1] + n]) * e[:, own]
-        scale[own] = total = a.sum(0)
-        alpha[:, own] = a / total
+    x, at, _ = in_time(seqs)
+    e = emit[:, x]
+    alpha = e.copy()
+    scale = forward(move, alpha, at, prior)
     size = np.array([len(q) for q in seqs])
     last = at[size - 1] + np.arange(len(seqs))
     beta = after / (alpha[:, last] * after).sum(0)
-    moves, right = np.zeros((s, s)), None
-    for t in range(len(at) - 2, -1, -1):
-        own = slice(at[t], at[t + 1])
-        n = at[t + 1] - at[t]
+    moves, right, bounds = np.zeros((len(move), len(move)), np.float64), None, at.tolist()
+    for t in range(len(bounds) - 2, -1, -1):
+        s, n = bounds[t], bounds[t + 1] - bounds[t]
         if right is not None:
             beta[:, : right.shape[1]] = move @ right
-        right = e[:, own] * beta[:, :n] / scale[own]
-        moves += (alpha[:, at[t - 1] : at[t - 1] + n] if t else before) @ right.T
-        alpha[:, own] *= beta[:, :n]
-    emits = np.stack([np.bincount(x, alpha[k], len(model.emit)) for k in range(s)])
+        right = e[:, s : s + n]
+        right *= beta[:, :n]
+        right /= scale[s : s + n]
+        moves += (alpha[:, bounds[t - 1] : bounds[t - 1] + n] if t else before) @ right.T
+        gamma = alpha[:, s : s + n]
+        gamma *= beta[:, :n]
+    emits = np.stack([np.bincount(x, alpha[k], len(model.emit)) for k in range(len(move))])
     return alpha[:, : at[1]], moves * model.move, emits
 
 
 def operators(model: Model, runs: list[np.ndarray], leads: np.ndarray) -> np.ndarray:
     """[run, from, to]: what a run makes of the state before it, up to a factor; ``leads``: the begin of a text, whatever is before."""
-    emit, move = np.ascontiguousarray(model.emit.astype(np.float32)), model.move.astype(np.float32)
+    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    emit = np.ascontiguousarray(emit / emit.max(1, keepdims=True))
     order = np.argsort([-len(r) for r in runs], kind="stable")
-    x, at = in_time([runs[i] for i in order])
-    made = np.broadcast_to(np.eye(len(move), dtype=np.float32), (len(runs), len(move), len(move))).copy()
-    first = np.where(leads[order, None, None], model.start.astype(np.float32), move)
-    for t in range(len(at) - 1):
-        n = at[t + 1] - at[t]
-        step = (first[:n] if t == 0 else made[:n] @ move) * emit[x[at[t] : at[t + 1]], None, :]
-        made[:n] = step / step.sum((1, 2), keepdims=True)
+    x, at, _ = in_time([runs[i] for i in order])
+    made = np.empty((len(runs), len(move), len(move)), np.float32)
+    made[:] = np.where(leads[order, None, None], model.start.astype(np.float32), move)
+    for t, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        step = made[: e - s]
+        if t:
+            step[:] = step @ move
+        step *= emit[x[s:e], None, :]
+        if t % 8 == 7:
+            step /= step.sum((1, 2), keepdims=True)
     out = np.empty_like(made)
-    out[order] = made
+    out[order] = made / made.sum((1, 2), keepdims=True)
     return out
 
 
@@ -281,19 +295,10 @@ def baum_welch(numbers: DataFrame, model: Model) -> Model:
 def log10_likelihoods(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     """Exact log10 likelihood of each sequence of classes, by the scaled forward recursion."""
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    size = np.array([len(seqs[i]) for i in order])
-    flat, begin = np.concatenate([seqs[i] for i in order]).astype(np.int64), np.cumsum(size) - size
-    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    total, alpha = np.zeros(len(seqs)), None
-    for t in range(int(size[0])):
-        n = int(np.searchsorted(-size, -t, side="left"))
-        e = emit[:, flat[begin[:n] + t]]
-        a = (model.start[:, None] if t == 0 else move @ alpha[:, :n]) * e
-        scale = a.sum(0)
-        total[:n] += np.log10(scale)
-        alpha = a / scale
+    x, at, lane = in_time([seqs[i] for i in order])
+    scale = forward(model.move, np.ascontiguousarray(model.emit.T)[:, x], at, np.repeat(model.start[:, None], len(seqs), 1))
     out = np.empty(len(seqs))
-    out[order] = total
+    out[order] = np.bincount(lane, np.log10(scale), len(seqs))
     return out
 
 
