@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 import struct
 import unicodedata
 
@@ -49,19 +48,6 @@ def byte_symbols() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
-def unassigned() -> str:
-    """A pattern class of the code points without a category in Python's tables."""
-    none, ranges = [unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)], []
-    start = None
-    for i in range(0x110001):
-        if i < 0x110000 and none[i]:
-            start = i if start is None else start
-        elif start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return f"[{''.join(ranges)}]"
-
-
 class WordBpe:
     """One vocabulary file, ready to encode and decode."""
 
@@ -88,7 +74,7 @@ class WordBpe:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.controls = regex.compile(r"[\x1c-\x1f]").search
         self.pattern, self.path, self.library = pattern, path, None
-        self.new_letters = re.compile(unassigned()).search
+        self.assigned: set[str] = set()  # code points met that Python's tables have
         self.of_piece, self.of_run = Kept(self.packed, PIECES_KEPT), Kept(self.joined, RUNS_KEPT)
 
     def word(self, piece: str) -> list[int]:
@@ -137,6 +123,15 @@ class WordBpe:
         made = [self.of_piece[p] for p in pieces]
         return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
 
+    def lacks(self, part: str) -> bool:
+        """Whether Python's tables lack a code point of the part."""
+        if self.assigned.issuperset(part):
+            return False
+        new = set(part) - self.assigned
+        known = {c for c in new if unicodedata.category(c) != "Cn"}
+        self.assigned |= known
+        return len(known) < len(new)
+
     def words_of_library(self, part: str) -> list[str]:
         """The words of a part with code points that Python's tables lack."""
         if self.library is None:
@@ -154,7 +149,7 @@ class WordBpe:
                 made.append((struct.pack("<I", self.special[part]), part))
                 continue
             if not part.isascii():
-                if self.new_letters(part):
+                if self.lacks(part):
                     made += map(self.packed, self.words_of_library(part))
                     continue
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
