@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.arrow import map_rows, read_table
 from quern.llm.kept import Kept
 
-PIECES_KEPT, RUNS_KEPT = 100_000, 150_000
+PIECES_KEPT, RUNS_KEPT = 40_000, 60_000
 #: White space as the vocabulary's own pattern engine defines it (Unicode White_Space).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
