@@ -196,7 +196,7 @@ def operators(model: Model, runs: list[np.ndarray], leads: np.ndarray) -> np.nda
     for t, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         step = made[: e - s]
         if t:
-            step[:] = step @ move
+            step[:] = (step.reshape(-1, len(move)) @ move).reshape(step.shape)
         step *= emit[x[s:e], None, :]
         if t % 8 == 7:
             step /= step.sum((1, 2), keepdims=True)
