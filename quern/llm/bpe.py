@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 
@@ -48,6 +49,10 @@ def byte_symbols() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+#: Finds a code point after the first that Unicode leaves out, U+0378.
+beyond = re.compile("[^\0-\u0377]").search
+
+
 class WordBpe:
     """One vocabulary file, ready to encode and decode."""
 
@@ -149,7 +154,7 @@ class WordBpe:
                 made.append((struct.pack("<I", self.special[part]), part))
                 continue
             if not part.isascii():
-                if self.lacks(part):
+                if beyond(part) and self.lacks(part):
                     made += map(self.packed, self.words_of_library(part))
                     continue
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
