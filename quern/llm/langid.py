@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.arrow import held_out, map_rows, read_table, slices
 
 DIMENSIONS, SEED, UNKNOWN = 1024, 20_090, "und"
-ROWS, CHARS, GRAMS = 256, 1_500_000, 4096
+ROWS, CHARS, GRAMS, CELLS = 256, 1_500_000, 4096, 4_000_000
 
 _letters: list[np.ndarray] = []
 
@@ -69,14 +69,26 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     place[alphabet] = np.arange(len(alphabet))
     a, size = place[codes].astype(np.int64), max(1, len(alphabet))
     inside = row[:-2] == row[2:]
-    pair = (((a[:-2] * size + a[1:-1]) * size + a[2:]) * len(texts) + row[:-2])[inside]
+    gram, text = ((a[:-2] * size + a[1:-1]) * size + a[2:])[inside], row[:-2][inside].astype(np.int64)
+    several = lambda kinds: np.stack([kinds // size**2, kinds // size % size, kinds % size], 1)
+    if size**3 <= CELLS:
+        present = np.zeros(size**3, bool)
+        present[gram] = True
+        kinds = np.flatnonzero(present)
+        if len(kinds) * len(texts) <= CELLS:  # few letters: counted in place
+            number = np.zeros(size**3, np.int64)
+            number[kinds] = np.arange(len(kinds))
+            counts = np.bincount(number[gram] * len(texts) + text, minlength=1)
+            pair = np.flatnonzero(counts)
+            which, text = np.divmod(pair, max(1, len(texts)))
+            return text, which, counts[pair], several(kinds), alphabet
+    pair = gram * len(texts) + text
     pair.sort()
     first = np.flatnonzero(np.diff(pair, prepend=-1))
     count = np.diff(first, append=len(pair))
     gram, text = np.divmod(pair[first], max(1, len(texts)))
     new = np.diff(gram, prepend=-1) != 0
-    kinds = gram[new]
-    return text, np.cumsum(new) - 1, count, np.stack([kinds // size**2, kinds // size % size, kinds % size], 1), alphabet
+    return text, np.cumsum(new) - 1, count, several(gram[new]), alphabet
 
 
 class Letters:

@@ -119,7 +119,9 @@ def brute_profile(text, dimensions):
     return out
 
 
-def test_language_profiles_against_brute_force():
+@pytest.mark.parametrize("cells", [4_000_000, 0])
+def test_language_profiles_against_brute_force(cells, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", cells)
     rnd, d = random.Random(9), 64
     texts = ["Déjà vu, 12 fois!", None, "", "a", "123", " Zwei  Wörter ", "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(300)), "abc " * 50]
     matrix = np.random.default_rng(1).normal(size=(3, d)).astype(np.float32)
