@@ -1,21 +1,25 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILAR`` or more.
 
 Words are those of ``simhash``; a shingle is a run of ``SHINGLE`` words (fewer words: all of them), held as its XXH3
-value of 128 bits. The SimHash of a text has 128 bits over its distinct shingles. A pair of similarity 0.8 differs in
-15 % of the bits of any SimHash, and at that radius parts of its bits exclude next to nothing. The generalised
-pigeonhole is therefore put to the bits that a SimHash sums up, one for each possible shingle: sets of up to n
-shingles and the similarity differ in at most r = (1 - SIMILAR) / (1 + SIMILAR) * 2 n of these. Shingles are dealt
-into somewhat more than r + 1 parts by their hash, and two sets of the similarity have one part in common; thresholds
-are 0, and -1 for parts without a shingle, of which r + 1 parts are always left or else the empty ones are sent too.
+value of 128 bits. Candidates are found as in ``simhash``, by SimHashes and the generalised pigeonhole with thresholds
+for each text. A pair of similarity 0.8 differs in 15 % of the bits of one SimHash over all shingles, and at that radius
+parts of its bits exclude next to nothing. So shingles are dealt into parts by their hash, and a text's fingerprint is
+the SimHash of each part, 64 bits that depend on the same shingles and are one part of the pigeonhole. Sets of up to n
+shingles and the similarity differ in at most r = (1 - SIMILAR) / (1 + SIMILAR) * 2 n shingles, and so in at most r of
+somewhat more than r + 1 parts. If each part i has a threshold t_i of -1 or 0 with the sum of (t_i + 1) equal to r + 1,
+some part of threshold 0 has the same SimHash. (Higher thresholds would probe a part's SimHash with any shingle added.)
+Each text gets its own thresholds: the dynamic programme of ``simhash`` minimises the estimated candidates, the
+estimate being a histogram of the parts' values over all texts (2^``BUCKET_BITS`` buckets a part). A text is indexed in
+each part and probes those of threshold 0; so parts that hold no shingle, or one that many texts have, are seldom probed.
 Sizes are in classes that grow by 25/16; a text near the lower end of the next class is dealt by that one, too.
-Of over ``KEYS`` parts the first ``KEYS`` are sent: each is in common with a chance of 0.37 or more, so that all
-are missed once in 10^9 pairs at the similarity itself.
+Of over ``KEYS`` parts the first ``KEYS`` are indexed and ``PROBED`` of them probed: each is in common with a chance
+of 0.37 or more, so that all are missed once in 10^9 pairs at the similarity itself.
 
-What meets in a part and differs in at most ``RADIUS`` of the SimHash's bits (``SHORT_RADIUS`` with ``SHORT`` or fewer
-shingles) is a candidate. What candidates connect is verified: the shingle sets of a connected group meet and exact
+What meets in a part and differs in at most ``RADIUS`` of the 128 bits of the SimHash over all shingles (``SHORT_RADIUS``
+with ``SHORT`` or fewer) is a candidate. What candidates connect is verified: the shingle sets of a connected group meet and exact
 similarities are taken, pair by pair, but for pairs already linked.
 
-Skew: texts of the same shingle set are one node. A part that over ``BLOCK`` nodes have is dealt out as pairs of blocks.
+Skew: texts of the same shingle set are one node. Values that nothing probes, and those of one row, go before rows are sorted. A part that over ``BLOCK`` nodes have is dealt out as pairs of blocks.
 A group of more than ``GROUP`` sets is dealt into blocks that each also hold the group's first set; only if that
 doesn't link all of them do blocks meet each other.
 
@@ -36,10 +40,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.arrow import cut, map_rows
 from quern.llm.components import components
+from quern.llm.simhash import thresholds
 
 SIMILAR, SHINGLE, SEED = 0.8, 5, 42
 RADIUS, SHORT, SHORT_RADIUS = 34, 16, 42
-KEYS, BLOCK, SMALL, GROUP = 48, 4096, 24, 256
+KEYS, PROBED, BUCKET_BITS, BLOCK, SMALL, GROUP = 56, 48, 10, 4096, 24, 256
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,30 +70,39 @@ def shingles(text: str | None) -> np.ndarray:
     return found[np.argsort(found[:, 0])]
 
 
-def part_keys(own: np.ndarray) -> np.ndarray:
-    """Keys of the parts that a set is found by, of its class and of the next where that may hold its like."""
-    n = len(own)
+def classes(n: int) -> list[int]:
+    """Classes by which a set of n shingles is dealt: its own, and the next where that may hold its like."""
     c = bisect_right(BOUNDS, n) - 1
-    return np.concatenate([keys_of(own, k) for k in ([c, c + 1] if n >= SIMILAR * BOUNDS[c + 1] - 1e-9 else [c])]) if n else np.zeros(0, np.uint64)
+    return [] if n == 0 else [c, c + 1] if n >= SIMILAR * BOUNDS[c + 1] - 1e-9 else [c]
 
 
-def keys_of(own: np.ndarray, c: int) -> np.ndarray:
+def layout(c: int) -> tuple[int, int, int]:
+    """(parts, parts indexed, parts probed) of a class; none where only equal sets are that similar."""
     r = int((1 - SIMILAR) / (1 + SIMILAR) * 2 * (BOUNDS[c + 1] - 1) + 1e-9)
-    if not r:
-        return np.zeros(0, np.uint64)  # only equal sets are that similar
     parts = -(-12 * (r + 1) // 10) + 2
-    part = own[:, 1] % np.uint64(parts)
-    use = np.flatnonzero(part < min(parts, KEYS))
-    use = use[np.argsort(part[use], kind="stable")]
-    if not len(use):
+    return (0, 0, 0) if not r else (parts, parts, r + 1) if parts <= KEYS else (parts, KEYS, min(PROBED, r + 1))
+
+
+def part_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of all parts that are indexed, class by class."""
+    return np.concatenate([np.zeros(0, np.uint64), *(keys_of(own, c) for c in classes(len(own)))])
+
+
+def keys_of(own: np.ndarray, c: int) -> np.ndarray:
+    """The SimHash of each part, as one value with the number of the part and the class."""
+    parts, indexed, _ = layout(c)
+    if not parts:
         return np.zeros(0, np.uint64)
-    part = part[use]
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    part, held = part[first], np.add.reduceat(own[use, 0], first)
-    if parts <= KEYS and len(part) < r + 1:
-        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
-        part, held = np.concatenate([part, empty]), np.concatenate([held, np.zeros(len(empty), np.uint64)])
-    key = (held ^ (part + np.uint64(c << 32) + np.uint64(1)) * ODD) * ODD
+    part = (own[:, 1] % np.uint64(parts)).astype(np.int64)
+    use = np.flatnonzero(part < indexed)
+    use = use[np.argsort(part[use], kind="stable")]
+    size = np.bincount(part[use], minlength=indexed)
+    upto = np.zeros((len(use) + 1, 64), np.int32)
+    np.cumsum(np.unpackbits(own[use, :1].view(np.uint8), axis=1), axis=0, dtype=np.int32, out=upto[1:])
+    last = np.cumsum(size)
+    bits = upto[last] - upto[last - size]
+    held = np.packbits(2 * bits > size[:, None], axis=1).view(np.uint64)[:, 0]
+    key = (held ^ (np.arange(indexed, dtype=np.uint64) + np.uint64(c << 32) + np.uint64(1)) * ODD) * ODD
     return key ^ (key >> np.uint64(29))
 
 
@@ -198,19 +212,64 @@ def groups(now: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch
         yield meet([c[bounds[k] : bounds[k + 1]] for c in now[2:]])
 
 
+def by_class(size: list[int], parts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(class, rows, [row, part] keys) of sets with the given sizes and keys."""
+    rows: dict[int, list] = {}
+    for i, (n, held) in enumerate(zip(size, parts, strict=True)):
+        at = 0
+        for c in classes(n):
+            if end := layout(c)[1]:
+                rows.setdefault(c, []).append((i, np.frombuffer(held, np.uint64)[at : at + end]))
+                at += end
+    for c, found in rows.items():
+        yield c, np.array([i for i, _ in found]), np.stack([k for _, k in found])
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def histogram(nodes: DataFrame) -> np.ndarray:
+    """[part, bucket]: how many values of a part, over all sets and classes, are in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(KEYS << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for _, _, keys in by_class(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own += np.bincount((bucket(keys) + (np.arange(keys.shape[1]) << BUCKET_BITS)).ravel(), minlength=len(own))
+        at = own.nonzero()[0]
+        yield pa.RecordBatch.from_pydict({"at": at, "n": own[at]})
+
+    counts = np.zeros(KEYS << BUCKET_BITS)
+    found = nodes.select("size", "parts").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    return counts.reshape(KEYS, -1)
+
+
+def probed(c: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[row, part]: whether the threshold of the part is 0 and not -1."""
+    price = np.zeros((*keys.shape, 2))
+    price[:, :, 1] = counts[np.arange(keys.shape[1]), bucket(keys)]
+    return thresholds(price, layout(c)[2] - 1) == 0
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect nodes (node, size, low, high, parts) that meet in a part and whose fingerprints are close."""
+    counts = histogram(nodes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], probes: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                part = batch.slice(k, 1_000)
-                keys = [np.frombuffer(b, np.int64) for b in part.column(4).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
-                yield pa.RecordBatch.from_pydict({"met": np.concatenate(keys), **{n: part.column(m).take(rows) for m, n in enumerate(("node", "size", "low", "high"))}})
-
-    rows = nodes.where("size > 0").select("node", "size", "low", "high", "parts").mapInArrow(run, "met long, node long, size long, low long, high long")
-    often = rows.groupBy("met").agg(F.count("*").alias("n")).where("n > 1").select(F.col("met").alias("of"), F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2))).otherwise(1).alias("blocks"))
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                for c, own, keys in by_class(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    met, rows = keys.ravel().view(np.int64), pa.array(np.repeat(own, keys.shape[1]))
+                    kept = {"probe": probed(c, keys, counts).ravel().astype(np.int8)} if probes else {n: part.column(n).take(rows) for n in ("node", "size", "low", "high")}
+                    yield pa.RecordBatch.from_pydict({"met": met, **kept})
+
+    some = nodes.where("size > 0")
+    probes = some.select("size", "parts").mapInArrow(lambda batches: run(batches, True), "met long, probe byte")
+    rows = some.select("size", "parts", "node", "low", "high").mapInArrow(lambda batches: run(batches, False), "met long, node long, size long, low long, high long")
+    often = probes.groupBy("met").agg(F.count("*").alias("n"), F.max("probe").alias("probe")).where("n > 1 AND probe > 0").select(F.col("met").alias("of"), F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (BLOCK // 2))).otherwise(1).alias("blocks"))
     found = rows.join(often, F.col("met") == F.col("of"))
     whole = found.where("blocks = 1").select("met", F.lit(0).cast("long").alias("block"), F.lit(2).cast("long").alias("side"), "node", "size", "low", "high")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))

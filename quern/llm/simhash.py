@@ -149,18 +149,17 @@ def costs(counts: np.ndarray, parts: list[int], radius: int) -> np.ndarray:
 
 
 def thresholds(price: np.ndarray, radius: int) -> np.ndarray:
-    """Cheapest thresholds of each row by dynamic programming; price: [row, part, t + 1]."""
+    """Cheapest thresholds of each row by dynamic programming; price: [row, part, t + 1], for thresholds up to the last that has one."""
     rows, m, _ = price.shape
     best = np.full((rows, radius + 2), np.inf)
     best[:, 0] = 0
-    chosen = np.zeros((m, rows, radius + 2), np.int64)
+    chosen = np.zeros((m, rows, radius + 2), np.int16)
     for i in range(m):
         after = np.full_like(best, np.inf)
-        for spent in range(radius + 2):
-            for t in range(spent + 1):
-                cost = best[:, spent - t] + price[:, i, t]
-                better = cost < after[:, spent]
-                after[better, spent], chosen[i, better, spent] = cost[better], t
+        for t in range(min(radius + 2, price.shape[2])):
+            cost = best[:, : radius + 2 - t] + price[:, i, t, None]
+            better = cost < after[:, t:]
+            after[:, t:][better], chosen[i, :, t:][better] = cost[better], t
         best = after
     out, left, every = np.zeros((rows, m), np.int64), np.full(rows, radius + 1), np.arange(rows)
     for i in reversed(range(m)):

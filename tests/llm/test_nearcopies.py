@@ -62,3 +62,25 @@ def nearcopies_bits(values):
     """SimHash of a set whose shingles are the given values."""
     own = np.frombuffer(b"".join(nearcopies.xxhash.xxh3_128_digest(v.encode(), nearcopies.SEED) for v in values), np.uint8).reshape(-1, 16)
     return np.packbits(2 * np.unpackbits(own, axis=1).sum(0, dtype=np.int64) > len(own)).view(np.uint64)
+
+
+def test_thresholds_of_parts():
+    """Each text probes the parts of its SimHash that fewest share, one more than shingles may differ."""
+    rnd = random.Random(13)
+    for n in (5, 12, 40, 120, 600):
+        one = nearcopies.shingles(" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n + 4)))
+        for c in nearcopies.classes(len(one)):
+            parts, indexed, many = nearcopies.layout(c)
+            keys = nearcopies.keys_of(one, c)
+            assert len(keys) == indexed and many < indexed <= min(parts, nearcopies.KEYS)
+            counts = np.ones((nearcopies.KEYS, 1 << nearcopies.BUCKET_BITS))
+            hot = sorted(rnd.sample(range(indexed), indexed - many))
+            counts[hot, nearcopies.bucket(keys)[hot]] = 1000
+            assert (~nearcopies.probed(c, keys[None], counts)[0]).nonzero()[0].tolist() == hot
+        # without one shingle only the SimHash of that shingle's part changes, and a pair at the similarity has a probed part in common
+        c = nearcopies.classes(len(one))[0]
+        if nearcopies.layout(c)[0]:
+            assert (nearcopies.keys_of(one, c) != nearcopies.keys_of(one[1:], c)).sum() <= 1
+            fewer = one[rnd.sample(range(len(one)), -(-8 * len(one) // 10))]
+            same = nearcopies.keys_of(one, c) == nearcopies.keys_of(fewer[np.argsort(fewer[:, 0])], c)
+            assert (same & nearcopies.probed(c, nearcopies.keys_of(one, c)[None], np.ones(counts.shape))[0]).any()
