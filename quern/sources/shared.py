@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new place in the folder the session names for checkpoints. Where none is set, one under /tmp, if all is one process."""
@@ -21,7 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, **options: object) -> DataFrame:
-    """``df`` as a table in the shared folder: short lineage that survives lost executors. options: the writer's."""
-    path = shared_folder(df.sparkSession)
-    df.write.options(**options).parquet(path)
+    """``df`` as a table in the shared folder: short lineage that survives lost executors. options: the writer's.
+
+    The table stands for what it was made of, so the shuffle files behind it go as soon as it is written.
+    """
+    path, conf = shared_folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
