@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,10 @@ from pyspark.sql.types import StructType
 
 from quern.sources.shared import written
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's own limit of 64 MB: both sides of each
+#: task hold whole batches.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a test-data folder, through Spark's reader so that any file system works."""
@@ -25,6 +30,8 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType, r
     a worker's memory doesn't depend on how rows are batched.
     """
     names = df.columns
+    if df.sparkSession.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     types = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,10 +39,18 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str | StructType, r
             for part in slices(batch, rows, chars):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_pydict(out, schema=types)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task: a worker waits for its next one, of another stage maybe."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, bounded by rows and by bytes."""
     total = batch.num_rows
